@@ -268,7 +268,7 @@ def pack(
     schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL(more)])
     arrow = arrow_schema(schema)
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):  # annotations would be strings here, which applyInArrow does not read
         encode = encoder(path or tokenizer_path())
         order = table.select(["doc_id", "text"]).add_column(0, "at", pa.array(range(table.num_rows))).sort_by([("doc_id", "ascending"), ("text", "ascending")])["at"]
         table = table.take(order)
