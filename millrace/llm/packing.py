@@ -8,9 +8,8 @@ gives its unused neighbours by score, and these are placed until the window is f
 seeds the next window. If no neighbour is left, the next unused document is a further seed. What is left at a shard's
 end, less than a window, is cut into sequences whose lengths are powers of two, so that no sequence needs padding.
 
-Tokens of a text are those of its runs between white space, in order: the tokenizer's normaliser and its splitting
-never look across white space, so that a bounded table of runs saves most calls. (Texts with the four control
-characters that Python alone counts as white space are encoded whole.)
+Tokens of a text are those of its runs between ASCII white space, in order: the tokenizer's normaliser and its splitting
+never look across white space, so that a bounded table of runs saves most calls.
 
 Defined cases: a null or empty text is one token, the end mark; each row is packed, repeated rows too; an empty table gives
 no rows; other columns are ignored.
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm import _text as text
 from millrace.llm._work import arrow_schema
 
 LENGTH = 4096
@@ -34,19 +34,80 @@ SHARD_BYTES = 8 << 20
 #: Terms of the seed that are looked up, and neighbours taken, for one query of the index.
 TERMS, NEIGHBOURS = 16, 32
 K1, B = 1.2, 0.75
-#: Runs of characters of which a Python worker keeps the ids.
-CACHED = 800_000
-#: Longer runs are not kept.
-CACHED_CHARS = 40
+#: A worker process keeps the ids of at most half as many runs as this table has places.
+TABLE_BITS = 22
 #: ASCII punctuation; an apostrophe may begin a piece of its own and is left out.
 TAILS = ".,!?;:%&$#*+-/<=>@\\^_`|~\"()[]{}"
 
 
+class Table:
+    """Token ids of runs of bytes by a 64-bit hash: open addressing over arrays, so that a lookup is a few gathers."""
+
+    def __init__(self, bits: int = TABLE_BITS):
+        self.bits = bits
+        self.clear()
+
+    def clear(self, entries: int = 0) -> None:
+        """Forget all; leave room for so many entries at least."""
+        self.bits = max(self.bits, (2 * entries).bit_length())
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.entry = np.zeros(1 << self.bits, dtype=np.int32)
+        self.begin, self.size = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.flat = np.zeros(0, dtype="<u4")
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, 0 if there is none."""
+        out = np.zeros(len(h), dtype=np.int32)
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = None
+        while True:
+            held = self.keys[at]
+            same = held == h
+            if left is None:
+                out = np.where(same, self.entry[at], 0).astype(np.int32)
+                left = np.flatnonzero(~same & (held != 0))
+                h, at = h[left], at[left]
+            else:
+                out[left[same]] = self.entry[at[same]]
+                more = ~same & (held != 0)
+                left, h, at = left[more], h[more], at[more]
+            if not len(left):
+                return out
+            at = (at + 1) & ((1 << self.bits) - 1)
+
+    def add(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Entries of hashes that are new and differ; ``ids`` has those of each, one after the other."""
+        first = len(self.begin)
+        ends = np.cumsum(sizes)
+        self.begin = np.concatenate([self.begin, len(self.flat) + ends - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+        entry = np.arange(first, first + len(h), dtype=np.int32)
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(h):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[free]
+            won = free & (self.keys[at] == h)
+            self.entry[at[won]] = entry[won]
+            h, at, entry = h[~won], (at[~won] + 1) & ((1 << self.bits) - 1), entry[~won]
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids one after the other) of entries."""
+        sizes = self.size[entries]
+        ends = np.cumsum(sizes)
+        return sizes, self.flat[np.repeat(self.begin[entries] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
-    Runs of Latin-1 letters, once lower-cased, are one piece for the tokenizer's splitting and pass its normaliser
-    unchanged. Such runs go to its model directly, many in one call, and are told apart by the tokens that end a word.
+    Texts are cut at ASCII white space. Runs whose characters are all Latin-1 have A-Z lower-cased first, which the
+    tokenizer does anyway. Runs of Latin-1 letters, once lower-cased, are one piece for its splitting and pass its
+    normaliser unchanged; they go to its model directly, many in one call, and are told apart by the tokens that end a
+    word. All others, and whatever doesn't come apart, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -66,7 +127,8 @@ class Encoder:
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
         self.ends[[i for token, i in model["vocab"].items() if token.endswith(mark)]] = True
-        self.known: dict[str, bytes] = {}
+        self.known = Table()
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,54 +143,61 @@ class Encoder:
         data, stops = ids.tobytes(), stops.tolist()
         return [data[a:b] for a, b in zip([0, *stops], stops)]
 
-    def _learn(self, plain: set[str], other: set[str]) -> dict[str, bytes]:
-        """Ids of unknown runs; ``plain`` ones are of lower-cased Latin-1. Punctuation after letters is a piece of its own."""
-        letters, whole, parted = {}, dict.fromkeys(other), []
-        known = self.known
-        for run in plain:
-            if run.isalpha():
-                letters[run] = None
-            elif (head := run.rstrip(TAILS)).isalpha():
-                parted.append((run, head, tail := run[len(head) :]))
-                if head not in known:
-                    letters[head] = None
-                if tail not in known:
-                    whole[tail] = None
-            else:
-                whole[run] = None
-        made = dict(zip(letters, self._spell(list(letters)))) | dict(zip(whole, self._encode(list(whole))))
-        for run, head, tail in parted:
-            made[run] = (known.get(head) or made[head]) + (known.get(tail) or made[tail])
-        return made
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        known, runs, plain, other = self.known, {}, set(), set()
-        for i, value in enumerate(texts):
-            if "\x1c" in value or "\x1d" in value or "\x1e" in value or "\x1f" in value:
-                out[i] = self._encode([value])[0]
-                continue
-            try:
-                value.encode("latin-1")
-            except UnicodeEncodeError:
-                runs[i] = own = value.split()
-                other.update(own)
-            else:
-                runs[i] = own = value.lower().split()
-                plain.update(own)
-        plain -= known.keys()
-        other -= known.keys()
-        made = self._learn(plain, other)
-        known.update(made)
-        for i, own in runs.items():
-            out[i] = b"".join([known[r] for r in own])
-        for r in made:
-            if len(r) > CACHED_CHARS:
-                del known[r]
-        if len(known) > CACHED:
-            known.clear()
+    def learn(self, runs: list[str], plain: list[bool]) -> list[bytes]:
+        """Ids of runs; ``plain`` ones are of Latin-1. Punctuation after letters is a piece of its own."""
+        out: list = [b""] * len(runs)
+        letters, at, whole, rest = [], [], [], []
+        for i, (run, latin) in enumerate(zip(runs, plain)):
+            if latin:
+                run = run.lower()
+                head = run.rstrip(TAILS)
+                if head.isalpha() and (head == run or (tail := run[len(head) :]) in self.tails or len(self.tails) < 10_000):
+                    if head != run:
+                        if tail not in self.tails:
+                            self.tails[tail] = self._encode([tail])[0]
+                        out[i] = self.tails[tail]
+                    letters.append(head)
+                    at.append(i)
+                    continue
+            whole.append(run)
+            rest.append(i)
+        for i, b in zip(at, self._spell(letters)):
+            out[i] = b + out[i]
+        for i, b in zip(rest, self._encode(whole)):
+            out[i] = b
         return out
 
+    def batch(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text's runs and the end mark, one text after the other; offsets of the texts)."""
+        parts, counts = [], []
+        for _, _, data, offsets in text.chunks(column, 4 * text.CHUNK):
+            low = text.LOWER[data]
+            starts, ends, first = text.words(data, offsets, text.NONSPACE)
+            beyond = np.flatnonzero(data >= 0xC4)
+            odd = np.unique(np.searchsorted(starts, beyond, side="right") - 1)
+            for i in odd.tolist():
+                low[starts[i] : ends[i]] = data[starts[i] : ends[i]]
+            h = text.hashes(low, starts, ends)
+            h[h == 0] = 1
+            entries = self.known.find(h)
+            if len(new := np.flatnonzero(entries == 0)):
+                unknown, one = np.unique(h[new], return_index=True)
+                one = new[one]
+                if len(self.known) + len(unknown) > 1 << (self.known.bits - 1):
+                    unknown, one = np.unique(h, return_index=True)
+                    self.known.clear(len(unknown))
+                strange = set(odd.tolist())
+                runs = [low[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[one].tolist(), ends[one].tolist())]
+                made = self.learn(runs, [i not in strange for i in one.tolist()])
+                self.known.add(unknown, np.array([len(b) // 4 for b in made]), np.frombuffer(b"".join(made), dtype="<u4"))
+                entries = self.known.find(h)
+            sizes, ids = self.known.ids(entries)
+            where = np.concatenate([[0], np.cumsum(sizes)])[first]
+            parts.append(np.insert(ids, where[1:], END))
+            counts.append(np.diff(where) + 1)
+        ids = np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")
+        return ids, np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, dtype=np.int64)
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -272,28 +341,24 @@ def pack(
         encode = encoder(path or tokenizer_path())
         order = table.select(["doc_id", "text"]).add_column(0, "at", pa.array(range(table.num_rows))).sort_by([("doc_id", "ascending"), ("text", "ascending")])["at"]
         table = table.take(order)
-        texts = table["text"]
-        made: list[bytes] = []
-        end = np.array([END], dtype="<u4").tobytes()
-        for i in range(0, len(texts), 256):
-            made += [b + end for b in encode.batch([t or "" for t in texts.slice(i, 256).to_pylist()])]
-        offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in made])])
-        ids = np.frombuffer(b"".join(made), dtype="<u4")
+        ids, offsets = encode.batch(table["text"])
+        data = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
+        begin, sizes = offsets.tolist(), np.diff(offsets).tolist()
         sequences = fill(ids, offsets, length)
         flat = [(d, start, take, number, sum(x[2] for x in pieces[:k])) for number, pieces in enumerate(sequences) for k, (d, start, take) in enumerate(pieces)]
         base = key[0].as_py() << 32
         columns = list(zip(*flat))
-        raw = [made[d][4 * start : 4 * (start + take)] for d, start, take, _, _ in flat]
+        raw = [data[4 * (begin[d] + start) : 4 * (begin[d] + start + take)] for d, start, take, _, _ in flat]
         long = lambda x: pa.array(x, pa.int64())
         out = [
             table["doc_id"].combine_chunks().take(long(columns[0])).cast(arrow.field(0).type),
             long(columns[1]),
             long(columns[2]),
             long([zlib.crc32(b) for b in raw]),
-            long([len(made[d]) // 4 for d in columns[0]]),
+            long([sizes[d] for d in columns[0]]),
             long([base + s for s in columns[3]]),
             long(columns[4]),
-            *([pa.array(raw, pa.binary())] if keep_ids else []),
+            *([pa.array([b.tobytes() for b in raw], pa.binary())] if keep_ids else []),
         ]
         return pa.Table.from_arrays(out, schema=arrow)
 
