@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, licenses, minhash, packing, quality, secrets, sharding, topk
+from millrace.llm import decontaminate, licenses, lines, minhash, packing, quality, secrets, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@query
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.near_lines(table(spark, sf_dir, "documents"))
