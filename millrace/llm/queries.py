@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, licenses, lines, minhash, packing, quality, secrets, sharding, topk
+from millrace.llm import chat, decontaminate, licenses, lines, minhash, packing, quality, secrets, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,3 +79,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.near_lines(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op7_chat"] = chat.SQL
