@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 from typing import Any
 
@@ -30,6 +31,19 @@ def dialect_options(dialect: Any, **more: Any) -> dict[str, str]:
     return out
 
 
+#: Names of encodings that Spark spells in its own way.
+_SPELLED = {"iso8859-1": "iso-8859-1", "ascii": "us-ascii"}
+
+
+def charset(encoding: str | None) -> str:
+    """Spark's name of an encoding by any of Python's."""
+    try:
+        name = codecs.lookup(encoding or "utf-8").name
+    except LookupError:
+        return encoding
+    return _SPELLED.get(name, name)
+
+
 class CSVSource(Source):
     """A delimited file, directory or glob.
 
@@ -59,7 +73,7 @@ class CSVSource(Source):
 
     def read(self, spark: SparkSession) -> DataFrame:
         path, options = fetched(self.resource), dialect_options(self.dialect, **self.csv_args)
-        options |= {"encoding": self.encoding or "UTF-8", "nullValue": "" if self.empty_as_null else "\x00", "emptyValue": "", "multiLine": str(self.multiline).lower()}
+        options |= {"encoding": charset(self.encoding), "nullValue": "", "emptyValue": "", "multiLine": str(self.multiline).lower()}
         lines = spark.read.option("encoding", options["encoding"]).text(path)
         header = self.read_header
         skip = int(self.skip_rows or 0)
@@ -89,9 +103,10 @@ class CSVSource(Source):
             df = spark.read.options(**options).csv(path, schema=text, header=bool(header), enforceSchema=True)
         return df.select(*(self._typed(f).alias(f.name, metadata=f.metadata()) for f in fields))
 
-    @staticmethod
-    def _typed(f: Field):
+    def _typed(self, f: Field):
         c = F.col(quoted(f.name))
+        if not self.empty_as_null and f.storage_type in ("string", "text", "unknown"):
+            return F.coalesce(c, F.lit(""))
         if f.storage_type in ("integer", "float"):
             return to_number(c, f.storage_type, True)
         if f.storage_type == "boolean":
@@ -118,7 +133,7 @@ class CSVTarget(Target):
             df = df.select(*(F.col(quoted(n)) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names))
         if not self.single:
             options = dialect_options(self.dialect, **self.csv_args)
-            df.write.mode("overwrite" if self.truncate else "append").options(encoding=self.encoding, header=str(self.write_headers).lower(), nullValue="", emptyValue="", **options).csv(self.resource)
+            df.write.mode("overwrite" if self.truncate else "append").options(encoding=charset(self.encoding), header=str(self.write_headers).lower(), nullValue="", emptyValue="", **options).csv(self.resource)
             return
         from millrace.sources.resources import open_resource
 
