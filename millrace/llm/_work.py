@@ -12,6 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Set on a session that names no shared folder (tests, local runs).
 _OWN = "millrace.scratch.dir"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS rows: a batch is of whole texts, and it is held by the JVM, off its
+    heap and by the Python worker at once."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a lost executor costs nothing above it."""
     spark = df.sparkSession

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, widen
+from millrace.llm._work import arrow_schema, bounded_batches, widen
 
 WINDOW = 13
 #: A document is contaminated if one word in so many is hit.
@@ -117,6 +117,7 @@ def scan(
     """``documents`` with ``_hit_words`` (words in all), ``_hit_spans`` (flat pairs: first word, word after the last;
     disjoint and sorted) and ``_hit_items`` (ids with an occurring window, as text)."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     schema = widen(documents.schema, SCANNED)
     blocks = list(range(0))
     out = documents

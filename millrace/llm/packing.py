@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema
+from millrace.llm._work import arrow_schema, bounded_batches
 
 LENGTH = 4096
 END = 2
@@ -329,6 +329,7 @@ def pack(
 
     ``path`` is the tokenizer's file as executors see it; by default each takes its own installed copy.
     """
+    bounded_batches(documents.sparkSession)
     slim = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))

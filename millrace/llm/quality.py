@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, widen
+from millrace.llm._work import arrow_schema, bounded_batches, widen
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -75,6 +75,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def with_statistics(documents: DataFrame, text_col: str = "text", drop_text: bool = False) -> DataFrame:
     """``documents`` and a column of each statistic; without the text if ``drop_text``."""
+    bounded_batches(documents.sparkSession)
     kept = [f for f in documents.schema if not (drop_text and f.name == text_col)]
     base = type(documents.schema)(kept)
     schema = widen(base, ", ".join(f"{_PREFIX}{f} double" for f in FEATURES))

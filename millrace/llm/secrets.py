@@ -28,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema
+from millrace.llm._work import arrow_schema, bounded_batches
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -190,8 +191,8 @@ def find(column) -> dict[int, list[tuple[int, int, int]]]:
 
 def report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its id, counts of pattern spans, base_sha256 and spans."""
+    bounded_batches(documents.sparkSession)
     slim = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    from pyspark.sql import types as T
 
     schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")])
     arrow = arrow_schema(schema)
@@ -214,6 +215,7 @@ def report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def redact(documents: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with ``mark`` in place of each span; overlapping spans are one."""
+    bounded_batches(documents.sparkSession)
     schema = documents.schema
     arrow = arrow_schema(schema)
 
