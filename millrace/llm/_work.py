@@ -43,6 +43,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with its columns by place, so that none clashes with an operator's; where ``names`` are now, and all."""
+    placed = [f"_c{i}" for i in range(len(df.columns))]
+    return df.toDF(*placed), [placed[df.columns.index(n)] for n in names], placed
+
+
 def widen(schema: T.StructType, fields: str) -> T.StructType:
     """``schema`` and the fields of a DDL string; a column of the same name gives way."""
     more = T.StructType.fromDDL(fields)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, bounded_batches, widen
+from millrace.llm._work import arrow_schema, aside, bounded_batches, widen
 
 WINDOW = 13
 #: A document is contaminated if one word in so many is hit.
@@ -113,23 +113,26 @@ def scan(
     item_text: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    removing: bool = False,
 ) -> DataFrame:
     """``documents`` with ``_hit_words`` (words in all), ``_hit_spans`` (flat pairs: first word, word after the last;
-    disjoint and sorted) and ``_hit_items`` (ids with an occurring window, as text)."""
+    disjoint and sorted) and ``_hit_items`` (ids with an occurring window, as text). With ``removing`` contaminated ones
+    are left out and hit spans cut, in the pass that scans the last block."""
     spark = documents.sparkSession
     bounded_batches(spark)
     schema = widen(documents.schema, SCANNED)
-    blocks = list(range(0))
-    out = documents
-    for number, block in enumerate(benchmark_blocks(benchmark, item_id, item_text, block_bytes)):
-        blocks.append(number)
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast((block, window)), text_col, number > 0, schema), schema)
-    if not blocks:
-        out = documents.mapInArrow(_scanner(spark.sparkContext.broadcast(([], window)), text_col, False, schema), schema)
+    out, again, ahead = documents, False, None
+    blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
+    block = next(blocks, [])
+    while block is not None:
+        ahead = next(blocks, None)
+        sent = spark.sparkContext.broadcast((block, window))
+        out = out.mapInArrow(_scanner(sent, text_col, again, removing and ahead is None, schema), schema)
+        block, again = ahead, True
     return out
 
 
-def _scanner(sent, text_col: str, again: bool, schema):
+def _scanner(sent, text_col: str, again: bool, removing: bool, schema):
     arrow = arrow_schema(schema)
 
     def run(batches):
@@ -160,7 +163,8 @@ def _scanner(sent, text_col: str, again: bool, schema):
                 "_hit_spans": pa.array([_union(spans[d]) if d in spans else [] for d in rows], pa.list_(pa.int64())),
                 "_hit_items": pa.array([sorted(items[d]) if d in items else [] for d in rows], pa.list_(pa.string())),
             }
-            yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in arrow], schema=arrow)
+            scanned = pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in arrow], schema=arrow)
+            yield _removed(scanned, text_col) if removing else scanned
 
     return run
 
@@ -189,24 +193,27 @@ def report(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 def remove(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``documents`` without contaminated ones, and without the hit spans of the others."""
-    found = scan(documents, benchmark, text_col, **options)
-    kept = found.filter(~contaminated(n_hit(), F.col("_hit_words")))
-    clean = kept.mapInArrow(_cutter(text_col, kept.schema), kept.schema)
-    return clean.select(*documents.columns)
-
-
-def _cutter(text_col: str, schema):
-    arrow = arrow_schema(schema)
-
-    def run(batches):
-        for batch in batches:
-            spans = batch.column(batch.schema.get_field_index("_hit_spans")).to_pylist()
-            column = batch.column(batch.schema.get_field_index(text_col))
-            if any(spans):
-                column = pa.array([cut(t, s) if s else t for t, s in zip(column.to_pylist(), spans)], column.type)
-            yield pa.RecordBatch.from_arrays([(column if f.name == text_col else batch.column(batch.schema.get_field_index(f.name))).cast(f.type) for f in arrow], schema=arrow)
-
-    return run
+    placed, (text_at,), columns = aside(documents, text_col)
+    return scan(placed, benchmark, text_at, removing=True, **options).select(*columns).toDF(*documents.columns)
+
+
+def _removed(batch: pa.RecordBatch, text_col: str) -> pa.RecordBatch:
+    """The rows of a scanned batch that aren't contaminated, with their hit spans cut out."""
+    at = batch.schema.get_field_index(text_col)
+    spans = batch.column(batch.schema.get_field_index("_hit_spans")).to_pylist()
+    words = batch.column(batch.schema.get_field_index("_hit_words")).to_pylist()
+    if not any(spans):
+        return batch
+    values, kept = batch.column(at).to_pylist(), []
+    for d, s in enumerate(spans):
+        hit = sum(s[1::2]) - sum(s[::2])
+        if not hit or hit * ONE_IN < words[d]:
+            kept.append(d)
+            if s:
+                values[d] = cut(values[d], s)
+    columns = list(batch.columns)
+    columns[at] = pa.array(values, columns[at].type)
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema).take(pa.array(kept, pa.int64()))
 
 
 def cut(value: str, spans: list[int]) -> str:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import bounded_batches, stored
+from millrace.llm._work import aside, bounded_batches, stored
 from millrace.llm.components import components
 
 BITS = 4
@@ -96,7 +96,7 @@ def pack(minima: np.ndarray) -> np.ndarray:
     per = 64 // BITS
     low = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint64)
     low = np.pad(low, ((0, 0), (0, -low.shape[1] % per)))
-    words = low.reshape(len(low), -1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))
+    words = low.reshape(len(low), low.shape[1] // per, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))
     return np.bitwise_or.reduce(words, axis=2)
 
 
@@ -291,7 +291,8 @@ def near_duplicates(
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``documents`` less those that are linked with one of a smaller id, directly or over others."""
     dropped = near_duplicates(documents, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(dropped, F.col(id_col) == F.col("_gone"), "left_anti")
+    placed, (id_at,), _ = aside(documents, id_col)
+    return placed.join(dropped, F.col(id_at) == F.col("_gone"), "left_anti").toDF(*documents.columns)
 
 
 def brute_force(rows: list[tuple[int, str | None]], n: int, percent: int) -> dict[int, tuple[int, int]]:

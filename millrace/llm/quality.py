@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, bounded_batches, widen
+from millrace.llm._work import arrow_schema, aside, bounded_batches, widen
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -240,4 +240,5 @@ def keep(documents: DataFrame, model: Model, text_col: str = "text", threshold:
     """``documents`` that the model does not reject."""
     if not model.weighted:
         return documents
-    return with_statistics(documents, text_col).filter(model.column() >= threshold).select(*documents.columns)
+    placed, (text_at,), columns = aside(documents, text_col)
+    return with_statistics(placed, text_at).filter(model.column() >= threshold).select(*columns).toDF(*documents.columns)
