@@ -1,0 +1,34 @@
+"""Queries over small tables: those with SQL equal it, and all return a row per document."""
+
+import os
+
+import duckdb
+import pytest
+
+from millrace.llm.queries import ORACLE, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+
+
+def test_there_is_one_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{DATA}/{f}'")
+    df = QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    found = con.sql(ORACLE[name])
+    at = [found.columns.index(c) for c in columns]
+    assert sorted(found.columns) == columns
+    assert sorted(tuple(repr(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(repr(r[i]) for i in at) for r in found.fetchall())
+
+
+@pytest.mark.parametrize("name", ["op1_minhash", "op2_licenses", "op3_sharding", "op4_secrets", "op6_quality", "op8_decontaminate"])
+def test_a_row_per_document(spark, name):
+    rows = [r.doc_id for r in QUERIES[name](spark, DATA).select("doc_id").collect()]
+    assert sorted(rows) == sorted(r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect())
