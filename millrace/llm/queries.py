@@ -26,6 +26,53 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLE["op8_decontaminate"] = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER}, '{_ALNUM}'), []) AS w FROM documents
+), b AS (
+    SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, coalesce(regexp_extract_all({_LOWER}, '{_ALNUM}'), []) AS w FROM benchmark)
+), bw AS (
+    SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS words FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b WHERE n > 0)
+), dw AS (
+    SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS words
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM b WHERE n > 0))
+), hits AS (
+    SELECT r, i, n, item_id FROM dw JOIN bw USING (n, words)
+), words AS (
+    SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
+), items AS (
+    SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS listed FROM hits GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+ORACLE["op1_minhash"] = rf"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS shingle
+    FROM (SELECT *, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)
+), pairs AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(node, top) AS (
+    SELECT doc_id, doc_id FROM n UNION SELECT pairs.b, reach.top FROM reach JOIN pairs ON reach.node = pairs.a WHERE reach.top < pairs.b
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, top), doc_id) AS component_id, doc_id = coalesce(least(doc_id, top), doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(top) AS top FROM reach GROUP BY node) USING (doc_id)
+"""
+
+
 @query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
@@ -78,7 +125,41 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.near_lines(table(spark, sf_dir, "documents"))
+    return lines.near_lines(table(spark, sf_dir, "documents")).drop("h1", "h2")
+
+
+ORACLE["op10_lines"] = r"""
+WITH RECURSIVE raw AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no
+    FROM documents WHERE doc_id IS NOT NULL
+), l AS (
+    SELECT * FROM (SELECT doc_id, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM raw) WHERE len(line) >= 16
+), u AS (
+    SELECT row_number() OVER () AS id, * FROM (SELECT line, min({'doc_id': doc_id, 'line_no': line_no}) AS first, count(*) AS n_copies FROM l GROUP BY line)
+), cuts AS (
+    SELECT id, line, shift, n, j, [0, n // 4, n // 2, n // 2 + (n - n // 2) // 2, n] AS cut
+    FROM (SELECT *, len(line) - shift AS n FROM u, (VALUES (0), (1)) s(shift)), (VALUES (1), (2), (3), (4)) p(j)
+), k AS (
+    SELECT id, line, shift, n, j, left(line, cut[j]) || substr(line, len(line) - n + cut[j + 1] + 1) AS key FROM cuts
+), c AS (
+    SELECT DISTINCT x.id AS a, y.id AS b, x.line AS s, y.line AS t
+    FROM k x JOIN k y ON x.n = y.n AND x.j = y.j AND x.key = y.key AND x.shift = 0 AND x.id <> y.id AND (y.shift = 1 OR x.id < y.id)
+), links AS (
+    SELECT a, b FROM c
+    WHERE len(list_filter(range(0, len(s) + 1), lambda i: left(s, i) = left(t, i) AND substr(s, i + 2 - (len(t) - len(s))) = substr(t, i + 2))) > 0
+), pairs AS (
+    SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(node, top) AS (
+    SELECT id, id FROM u WHERE id IN (SELECT a FROM pairs) UNION SELECT pairs.b, reach.top FROM reach JOIN pairs ON reach.node = pairs.a
+), tops AS (
+    SELECT node AS id, min(first) AS top FROM reach JOIN u ON u.id = reach.top GROUP BY node
+), counts AS (
+    SELECT a AS id, count(*) AS n_links FROM pairs GROUP BY a
+)
+SELECT l.doc_id, l.line_no, coalesce(top, first).doc_id AS class_doc_id, coalesce(top, first).line_no AS class_line_no, n_copies, coalesce(n_links, 0) AS n_links,
+    l.doc_id = coalesce(top, first).doc_id AND l.line_no = coalesce(top, first).line_no AS kept
+FROM l JOIN u USING (line) LEFT JOIN tops USING (id) LEFT JOIN counts USING (id)
+"""
 
 
 @query
