@@ -14,6 +14,7 @@ columns are ignored; whole texts are read.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,7 +44,8 @@ class Rule:
 _SIGNATURES = r"""
 mit|mit|=licensed under the (?:terms of the )?mit licen[sc]e|=released under the (?:terms of the )?mit licen[sc]e|=distributed under the (?:terms of the )?mit licen[sc]e|=the mit licen[sc]e(?: mit)?|=mit licen[sc]ed?|~opensource org licenses mit(?: license)?(?: php)?|~mit style licen[sc]e|~mit x11 licen[sc]e
 mit|permission|=permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?
-mit-0|mit|=mit no attribution(?: license)?|=mit 0 licen[sc]e
+mit-0|attribution|=mit no attribution(?: license)?
+mit-0|mit|=mit 0 licen[sc]e
 expat|expat|=expat licen[sc]e|~expat style licen[sc]e
 x11|x11|=x11 licen[sc]e|~x11 style licen[sc]e
 apache-2.0|apache|=licensed under the apache licen[sc]e(?: version)? 2(?: 0)?|=apache licen[sc]e(?: version)? 2(?: 0)?|=apache software licen[sc]e(?: version)? 2(?: 0)?|=apache 2(?: 0)? licen[sc]ed?|=www apache org licenses license 2 0(?: txt| html)?|~apache 2 0
@@ -195,8 +197,18 @@ RULES = rules()
 
 #: Words that gate many rules at once, the most common first.
 _STRONG = ("licen", "permission", "spdx", "gpl", "apache", "creative", "mozilla", "eclipse", "redistribution", "domain", "cc by")
-#: Without one of these no rule and no base phrase can match: for each rule a part of its pattern that is in every match.
-GATE = tuple(sorted({next((g for g in _STRONG if g in r.pattern.replace("(?:", "")), r.keyword) for r in RULES} - {"cc by"}))
+
+
+def _certain(pattern: str) -> str:
+    """What is in every match: the pattern without its groups, which are optional or have alternatives."""
+    before = None
+    while before != pattern:
+        before, pattern = pattern, re.sub(r"\(\?:[^()]*\)(\?|\{[^}]*\})?", "\n", pattern)
+    return pattern
+
+
+#: Without one of these no rule and no base phrase can match: for each rule a word of every match.
+GATE = tuple(sorted({next((g for g in _STRONG if g in _certain(r.pattern)), r.keyword) for r in RULES} - {"cc by"}))
 
 
 def gated(column: Column) -> Column:
