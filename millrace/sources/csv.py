@@ -72,7 +72,7 @@ class CSVSource(Source):
         self.empty_as_null, self.fields, self.multiline, self.csv_args = empty_as_null, fields, multiline, csv_args
 
     def read(self, spark: SparkSession) -> DataFrame:
-        path, options = fetched(self.resource), dialect_options(self.dialect, **self.csv_args)
+        path, options = fetched(spark, self.resource), dialect_options(self.dialect, **self.csv_args)
         options |= {"encoding": charset(self.encoding), "nullValue": "", "emptyValue": "", "multiLine": str(self.multiline).lower()}
         lines = spark.read.option("encoding", options["encoding"]).text(path)
         header = self.read_header

@@ -6,8 +6,11 @@ import io
 import tempfile
 import urllib.parse
 import urllib.request
+import uuid
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 
 def is_remote(resource: Any) -> bool:
     """Whether Spark's file systems can't read it, but the driver can fetch it."""
@@ -28,16 +31,21 @@ def open_resource(resource: Any, mode: str = "r", encoding: str | None = "utf-8"
     return (io.TextIOWrapper(handle, **text) if text else handle), True
 
 
-def fetched(resource: Any) -> str:
-    """A path that Spark can read: remote resources and handles are copied to a file of the driver, for local sessions."""
+def fetched(spark: SparkSession, resource: Any) -> str:
+    """A path that executors can read: remote resources and handles are copied by the driver into the shared folder that
+    spark.checkpoint.dir names, or a folder of its own where there is none."""
     if not is_remote(resource) and not hasattr(resource, "read"):
         return str(resource)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
+    path = f"{folder.rstrip('/')}/fetched-{uuid.uuid4().hex}.data"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
     handle, close = open_resource(resource, "rb") if is_remote(resource) else (resource, False)
-    with tempfile.NamedTemporaryFile("wb", suffix=".data", delete=False) as out:
-        for block in iter(lambda: handle.read(1 << 20), None):
-            if not block:
-                break
-            out.write(block if isinstance(block, bytes) else block.encode())
+    for block in iter(lambda: handle.read(1 << 20), None):
+        if not block:
+            break
+        out.write(block if isinstance(block, bytes) else block.encode())
+    out.close()
     if close:
         handle.close()
-    return out.name
+    return path

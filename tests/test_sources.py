@@ -45,6 +45,7 @@ def test_csv_header_types_and_nulls(spark, path):
     typed = CSVSource(path, fields=["id", "name", "type", "ln", "lc", ("amount", "integer")]).read(spark)
     assert [r.amount for r in typed.collect()] == [10, None, 30]
     assert rows(CSVSource(path, empty_as_null=False).read(spark))[1][1] == ""
+    assert rows(CSVSource(io.StringIO(TEXT)).read(spark)) == rows(df) and rows(CSVSource(io.BytesIO(TEXT.encode())).read(spark)) == rows(df)
     assert len(list(CSVSource(path).records(spark))) == 3 and next(CSVSource(path).rows(spark))[0] == "1"
 
 
