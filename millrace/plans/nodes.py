@@ -25,7 +25,9 @@ def _declared(name: str, kind: str, attributes: dict[str, str], defaults: dict[s
             value = defaults.get(key)
             setattr(self, key, list(value) if isinstance(value, list) else dict(value) if isinstance(value, dict) else value)
         if len(args) > len(order):
-            raise TypeError(f"{name} takes at most {len(order)} arguments")
+            if "args" not in attributes:
+                raise TypeError(f"{name} takes at most {len(order)} arguments")
+            self.args = list(args[len(order) :])
         given = dict(zip(order, args)) | kwargs
         for key, value in given.items():
             if key in attributes:
@@ -200,6 +202,7 @@ _target(
     lambda n, df: sources.FormattedPrinter(n.format, n.target or n.output, n.delimiter, n.header, n.footer).write(df),
     {"format": "with names in braces", "target": "path or handle", "output": "the same", "delimiter": "after lines", "header": "text before", "footer": "text after"},
     {"delimiter": "\n"},
+    order=["format", "target", "delimiter", "header", "footer"],
 )
 _target(
     "pretty_printer",
@@ -229,6 +232,7 @@ _target(
     lambda n, df: sources.SQLTarget(**{k: getattr(n, k) for k in _SQL if k != "options"}, **(n.options or {})).write(df),
     _SQL,
     {"truncate": False, "create": False, "replace": False, "add_id_key": False, "id_key_name": "id", "buffer_size": 1000, "options": {}},
+    order=["url", "table", "truncate", "create", "replace"],
     extra="options",
 )
 _target(

@@ -179,5 +179,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"s" -> "t"' in out and "value_threshold" in out and "discard_sample" in out and '"null_count": 0' in out and "more than 1 values" in out
 
 
-def test_names():
+def test_names(spark):
+    from millrace.plans import CoalesceValueToTypeNode, CSVSourceNode, SQLTableTargetNode
+
+    assert CSVSourceNode("x").identifier() == "csv_source" and SQLTableTargetNode("u", "t", True).truncate and CoalesceValueToTypeNode().types is None
+    with pytest.raises(ImportError):
+        from millrace.plans import NothingNode  # noqa: F401
+    with pytest.raises(TypeError):
+        create_node("audit", 1, 2, 3)
+    numbers = create_node("generator_function_source", lambda a, b, step: ([i] for i in range(a, b, step)), ["i"], 0, 10, step=3)
+    assert [r.i for r in numbers.output(spark, []).collect()] == [0, 3, 6, 9]
     assert millrace.create_builder and millrace.fieldlist is millrace.FieldList
