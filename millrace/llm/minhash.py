@@ -274,7 +274,8 @@ def near_duplicates(
     placed = buckets.filter("members > 2").select("band", "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     weights = placed.join(sets.select("id", F.octet_length("hashes").alias("bytes")), "id")
     open_ = weights.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m"), F.sum("bytes").alias("bytes")).filter("c1 != c2 and m > 2")
-    open_ = open_.select("band", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    # A table, a row per bucket, so that the join of a large one can be split.
+    open_ = stored(open_.select("band", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "open")
     dealt = placed.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "component")
