@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they run: once per application it goes to them as a zip file."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                file = os.path.join(folder, name)
+                out.write(file, os.path.join(os.path.basename(root), os.path.relpath(file, root)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
 
 def local_session(cores: str | int = "*", app: str = "millrace", **conf: str) -> SparkSession:
     """A local session with adaptive execution and a UTC clock."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.schema import FieldList, collapse_record, expand_record
+from millrace.session import ship_package
 from millrace.sources.base import Source, Target, needs_fields
 
 
@@ -25,6 +26,7 @@ class YamlDirectorySource(Source):
         self.path, self.extension, self.expand, self.filename_field, self.fields = path, extension, expand, filename_field, fields
 
     def read(self, spark: SparkSession) -> DataFrame:
+        ship_package(spark)
         fields = needs_fields(self.fields)
         names, expand, filename = fields.names(), self.expand, self.filename_field
         files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{self.extension}").load(self.path).select("path", "content")
