@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from millrace.session import ship_package
+
 #: Set on a session that names no shared folder (tests, local runs).
 _OWN = "millrace.scratch.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -30,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Hold the session's Arrow batches to BATCH_ROWS rows: a batch is of whole texts, and it is held by the JVM, off its
-    heap and by the Python worker at once."""
+    heap and by the Python worker at once. Workers get this package, too."""
+    ship_package(spark)
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._work import arrow_schema
+from millrace.llm._work import bounded_batches
 
 SCALE = 256
 K = 5
@@ -104,6 +104,7 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` its k best of all other rows."""
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = usable(vectors, id_col, vector_col)
     asked = rows.filter(F.col("id") % every == 0)
     count, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
