@@ -13,8 +13,9 @@ _NUMBER = {"integer": r"^[+-]?[0-9]+$", "float": r"^[+-]?([0-9]+([.][0-9]*)?|[.]
 
 def java_pattern(pattern: str) -> str:
     """A Python regular expression for Java: named groups and back-references by name."""
-    pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
-    return re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\\k<{m[1].replace('_', '')}>".replace("\\\\", "\\"), pattern)
+    plain = lambda m: m[1].replace("_", "")  # noqa: E731  Java's group names have no underscores
+    pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{plain(m)}>", pattern)
+    return re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{plain(m)}>", pattern)
 
 
 def java_replacement(replacement: str) -> str:

@@ -156,6 +156,8 @@ def test_text(spark, sample):
     assert (new.str, new.new) == ("item-0", "$0 item")
     named = fo.text_substitute(sample.limit(1), "str", [(r"(?P<w_x>\w)(?P<y>\w)", r"\g<y>\g<w_x>")]).first().str
     assert named == "time-0"
+    twice = spark.createDataFrame([("aa-bc",)], "s string")
+    assert fo.text_substitute(twice, "s", [(r"(?P<x_1>\w)(?P=x_1)", r"<\g<x_1>\g<0>$>")]).first().s == "<aaa$>-bc"
     strip = RowListSource([[" foo ", " bar ", " \tbaz\n ", " moo "]], [("str1", "string"), "x", ("str2", "text"), "f"]).read(spark)
     assert tuple(fo.string_strip(strip, ["str1", "str2"]).first()) == ("foo", " bar ", "baz", " moo ")
     typed = spark.createDataFrame([(" a ", 1)], "s string, i int")
