@@ -56,10 +56,10 @@ def rebalance(old: DataFrame, sizes: DataFrame, shards: int, slack: float = 0.02
     Slots in falling order of bytes keep their shard as long as it exists and stays within ``slack`` above the mean; the
     others go to the lightest shard.
     """
-    version = F.coalesce(F.max("version"), F.lit(0)) + 1
+    version = (old.agg(F.max("version")).first()[0] or 0) + 1
     known = old.select("vslot", F.col("shard").alias("old"))
     joined = sizes.join(known, "vslot", "full").select("vslot", F.coalesce("bytes", F.lit(0).cast("bigint")).alias("bytes"), F.coalesce("records", F.lit(0).cast("bigint")).alias("records"), F.coalesce("old", F.lit(-1)).alias("old"))
-    return _placed(_fold(joined, shards, slack), 0).drop("version").crossJoin(F.broadcast(old.agg(version.cast("int").alias("version"))))
+    return _placed(_fold(joined, shards, slack), version)
 
 
 def _fold(sizes: DataFrame, shards: int, slack: float = 0.0) -> DataFrame:
