@@ -56,6 +56,18 @@ def pipe(tokens: list[str]) -> Stream:
     return stream
 
 
+def reference(catalogue: dict[str, dict]) -> str:
+    """Nodes by type, with their attributes, in Markdown."""
+    out = []
+    for kind in ("source", "processing", "target"):
+        out.append(f"# {kind.capitalize()} nodes\n")
+        for name, info in catalogue.items():
+            if info["type"] == kind:
+                out.append(f"## {name}\n\n{info['description']}\n")
+                out.append("".join(f"- `{k}`: {v}\n" for k, v in info["attributes"].items()))
+    return "\n".join(out)
+
+
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="millrace", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("--extension", action="append", default=[], help="module whose nodes are to be registered")
@@ -65,6 +77,7 @@ def main(arguments: list[str] | None = None) -> int:
     commands.add_parser("pipe", help="run nodes in a row").add_argument("tokens", nargs=argparse.REMAINDER)
     listed = commands.add_parser("nodes", help="list nodes, or describe one")
     listed.add_argument("name", nargs="?")
+    listed.add_argument("--markdown", action="store_true", help="as a reference for reading")
     audited = commands.add_parser("audit", help="field statistics of a table")
     audited.add_argument("path")
     audited.add_argument("--source", default="parquet", choices=("parquet", "csv", "json", "orc"))
@@ -83,7 +96,11 @@ def main(arguments: list[str] | None = None) -> int:
         known = node_catalogue()
         if given.name and given.name not in known:
             raise SystemExit(f"no node {given.name!r}")
-        for name, info in known.items() if not given.name else [(given.name, known[given.name])]:
+        chosen = known if not given.name else {given.name: known[given.name]}
+        if given.markdown:
+            print(reference(chosen))
+            return 0
+        for name, info in chosen.items():
             print(f"{name} ({info['type']}): {info['description'].splitlines()[0] if info['description'] else ''}")
             if given.name:
                 print("".join(f"    {k}: {v}\n" for k, v in info["attributes"].items()), end="")

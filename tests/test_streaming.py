@@ -30,6 +30,7 @@ def test_operators_that_streams_run(spark, stream):
     assert result(records.merge([stream, detail], [(1, "k")]), "m2", "append").count() == 24
     assert result(records.aggregate(stream, ["k"], ["v"]), "m3", "complete").count() == 5
     assert result(records.append(stream, stream), "m4", "append").count() == 120
+    assert result(records.sample(stream, 7), "m9", "append").count() == 7
     assert result(so.audit(stream), "m5", "complete").filter("field_name = 'k'").first().distinct_count == 5
     parts = [result(so.sample_by_key(stream, 40, ["v"], d), f"m6{d}", "append").count() for d in (False, True)]
     assert sum(parts) == 60 and min(parts) > 0

@@ -173,10 +173,11 @@ def test_command_line(spark, tmp_path, capsys):
     main(["graph", str(tmp_path / "s.json")])
     main(["nodes"])
     main(["nodes", "sample"])
+    main(["nodes", "--markdown"])
     main(["audit", str(path), "--source", "csv", "--format", "json"])
     main(["audit", str(path), "--source", "csv", "--threshold", "2"])
     out = capsys.readouterr().out
-    assert '"s" -> "t"' in out and "value_threshold" in out and "discard_sample" in out and '"null_count": 0' in out and "more than 1 values" in out
+    assert '"s" -> "t"' in out and "value_threshold" in out and "## value_threshold" in out and "- `discard_sample`:" in out and "discard_sample" in out and '"null_count": 0' in out and "more than 1 values" in out
 
 
 def test_names(spark):
