@@ -250,7 +250,8 @@ def near_duplicates(
 
     # Classes of equal sets, by the set's size and a 128-bit fingerprint.
     some = signed.filter("n > 0 and id is not null")
-    leads = some.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"))
+    # A table, a row per class, so that the join of a large class can be split.
+    leads = stored(some.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep")), "leads")
     members = stored(some.select("id", "fp1", "fp2", "n").join(leads, ["fp1", "fp2", "n"]).select("id", "rep").distinct(), "members")
     reps = some.join(leads, ["fp1", "fp2", "n"]).filter("id = rep").select("id", "n", F.explode("bands").alias("band"))
 
