@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +33,47 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: What operators keep in a worker process between tasks: how to let go of it, by operator.
+_kept: dict[str, Callable[[], None]] = {}
+_serving = [""]
+
+
+def keeps(operator: str, clear: Callable[[], None]) -> None:
+    """Register what ``operator`` keeps between tasks."""
+    _kept[operator] = clear
+
+
+def serve(operator: str) -> None:
+    """A worker process serves one operator after another: let go of what others have kept in it."""
+    if _serving[0] != operator:
+        for name, clear in _kept.items():
+            if name != operator:
+                clear()
+        give_back()
+        _serving[0] = operator
+
+
+def give_back() -> None:
+    """Return memory that is free inside this process to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def task(operator: str, run: Callable) -> Callable:
+    """``run``, a function over Arrow batches, as a task of ``operator`` that leaves little behind in its worker."""
+
+    def served(batches):
+        serve(operator)
+        yield from run(batches)
+        give_back()
+
+    return served
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Hold the session's Arrow batches to BATCH_ROWS rows: a batch is of whole texts, and it is held by the JVM, off its
     heap and by the Python worker at once. Workers get this package, too."""

@@ -16,6 +16,7 @@ id counts once; an empty benchmark hits nothing; other columns, whatever their n
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, aside, bounded_batches, widen
+from millrace.llm._work import arrow_schema, aside, bounded_batches, keeps, task, widen
 
 WINDOW = 13
 #: A document is contaminated if one word in so many is hit.
@@ -132,11 +133,27 @@ def scan(
     return out
 
 
+#: The windows that this worker process made last, by block.
+_made: dict[str, Windows] = {}
+
+
+keeps("decontaminate", _made.clear)
+
+
+def _windows(block: str, sent) -> Windows:
+    """The windows of a block, made once in a worker process for as long as it works on that block."""
+    if block not in _made:
+        _made.clear()
+        _made[block] = Windows(*sent.value)
+    return _made[block]
+
+
 def _scanner(sent, text_col: str, again: bool, removing: bool, schema):
     arrow = arrow_schema(schema)
+    block = uuid.uuid4().hex
 
     def run(batches):
-        windows = Windows(*sent.value)
+        windows = _windows(block, sent)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -166,7 +183,7 @@ def _scanner(sent, text_col: str, again: bool, removing: bool, schema):
             scanned = pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in arrow], schema=arrow)
             yield _removed(scanned, text_col) if removing else scanned
 
-    return run
+    return task("decontaminate", run)
 
 
 def n_hit() -> Column:

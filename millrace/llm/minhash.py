@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import aside, bounded_batches, stored
+from millrace.llm._work import aside, bounded_batches, serve, stored, task
 from millrace.llm.components import components
 
 BITS = 4
@@ -175,7 +175,7 @@ def _signed(documents: DataFrame, minima: Minima, n: int, table: np.ndarray, wit
             if rows:
                 yield made(batch, rows, sets)
 
-    return documents.mapInArrow(run, _SETS if with_sets else _SIGNED)
+    return documents.mapInArrow(task("minhash", run), _SETS if with_sets else _SIGNED)
 
 
 def _confirmed(pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -193,7 +193,7 @@ def _confirmed(pairs: DataFrame, k: int, percent: int) -> DataFrame:
             yes = [i for i in maybe.tolist() if linked(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), percent)]
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(yes, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
-    return pairs.select("a", "b", "s", "t", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "s", "t", "x", "y").mapInArrow(task("minhash", run), "a bigint, b bigint")
 
 
 def _joins(k: int, percent: int):
@@ -201,6 +201,7 @@ def _joins(k: int, percent: int):
     least = least_agreement(percent / 100, k)
 
     def run(key, table):
+        serve("minhash")
         band, p, q = (x.as_py() for x in key)
         table = table.sort_by([("id", "ascending")])
         n = table["n"].to_numpy()

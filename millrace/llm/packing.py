@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, bounded_batches
+from millrace.llm._work import arrow_schema, bounded_batches, keeps, serve
 
 LENGTH = 4096
 END = 2
@@ -202,6 +202,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+keeps("packing", _encoders.clear)
+
+
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
     if path not in _encoders:
@@ -339,6 +342,7 @@ def pack(
     arrow = arrow_schema(schema)
 
     def run(key, table):  # annotations would be strings here, which applyInArrow does not read
+        serve("packing")
         encode = encoder(path or tokenizer_path())
         order = table.select(["doc_id", "text"]).add_column(0, "at", pa.array(range(table.num_rows))).sort_by([("doc_id", "ascending"), ("text", "ascending")])["at"]
         table = table.take(order)

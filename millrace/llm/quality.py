@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, aside, bounded_batches, widen
+from millrace.llm._work import arrow_schema, aside, bounded_batches, task, widen
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -87,7 +87,7 @@ def with_statistics(documents: DataFrame, text_col: str = "text", drop_text: boo
             columns = {f"{_PREFIX}{f}": pa.array(made[:, k]) for k, f in enumerate(FEATURES)}
             yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in arrow], schema=arrow)
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(task("quality", run), schema)
 
 
 @dataclass(frozen=True)

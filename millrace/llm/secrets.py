@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, bounded_batches
+from millrace.llm._work import arrow_schema, bounded_batches, task
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -210,7 +210,7 @@ def report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 listed.append(digest(spans))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashed, pa.string()), pa.array(listed, pa.string())], schema=arrow)
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(task("secrets", run), schema)
 
 
 def redact(documents: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -236,7 +236,7 @@ def redact(documents: DataFrame, text_col: str = "text", mark: str = "[SECRET]")
                 columns[at] = pa.array(values, columns[at].type)
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(task("secrets", run), schema)
 
 
 def brute_force(value: str | None) -> tuple[int, int, int, str]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._work import bounded_batches
+from millrace.llm._work import bounded_batches, task
 
 SCALE = 256
 K = 5
@@ -164,7 +164,7 @@ def _scanner(sent, k: int, scale: float, block: int):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
 
-    return run
+    return task("topk", run)
 
 
 def brute_force(rows: list[tuple[int, list | None]], k: int = K, every: int = EVERY, scale: float = SCALE) -> list[tuple]:
