@@ -2,16 +2,18 @@
 
 Pattern spans (kinds assign, access, hex) are leftmost and non-overlapping per kind. The battery looks at every run of
 ``MIN_TOKEN`` or more characters of [A-Za-z0-9+/_=-] that mixes kinds of characters. It infers the narrowest encoding
-that holds the run (hex, base32, lower or mixed alphanumerics, base64) and then asks two things.
+that holds the run (hex, base32, lower or mixed alphanumerics, base64) and then asks two things. A run that no alphabet
+holds, such as NAME=value or a path, is cut at ``=`` (but for padding at its end) and, for each alphabet in turn, at what
+is foreign to it; each part of ``MIN_TOKEN`` or more characters is a candidate of its own.
 
 * Does anything speak against uniform draws from that alphabet? Chi-squared over the symbols, a runs test about the
   median and the lag-one serial correlation, each at ``ALPHA`` / 3.
 * Does enough speak for them? The likelihood ratio of uniform draws against prose (class changes and letter
   frequencies) is an e-value, as its mean over prose is at most one. It grows with the length, so that a short run needs
-  cleaner evidence. Over all runs of a document the e-values go through the step-up rule of e-BH, which keeps the
+  cleaner evidence. Over all candidates of a document the e-values go through the step-up rule of e-BH, which keeps the
   expected share of false discoveries below ``RATE`` under any dependence.
 
-What passes both and lies in no pattern span is a span of kind ``random``.
+What passes both and lies in no pattern span is a span of kind ``random``; one inside another is left out.
 
 Defined cases: a null or empty text has no spans, and the digest of the empty string; equal rows get equal results; whole
 texts are read, however long; offsets count code points, the end is exclusive; other columns are ignored by ``report``
@@ -61,6 +63,7 @@ ENCODINGS = {
     "base64url": _UPPER + _UPPER.lower() + _DIGITS + "-_",
 }
 _SYMBOLS = {k: {c: i for i, c in enumerate(v)} for k, v in ENCODINGS.items()}
+_PARTS = [re.compile(f"[{re.escape(v)}]{{{MIN_TOKEN},}}") for v in ENCODINGS.values()]
 
 #: Log chances of prose: from class to class (lower, upper, digit, other), and of letters by rank in use.
 _STEP = np.log(np.array([[0.95, 0.02, 0.01, 0.02], [0.50, 0.40, 0.05, 0.05], [0.06, 0.04, 0.85, 0.05], [0.55, 0.15, 0.20, 0.10]]))
@@ -78,6 +81,15 @@ def encoding(token: str) -> str | None:
     return next((k for k, v in _SYMBOLS.items() if used <= v.keys()), None)
 
 
+def candidates(token: str) -> list[tuple[int, int]]:
+    """Places in a run of what is tested: all of it, or its parts if no alphabet holds it."""
+    bare = token.rstrip("=")
+    if encoding(bare):
+        return [(0, len(token))]
+    found = {m.span() for parts in _PARTS for m in parts.finditer(bare)}
+    return sorted((a, len(token) if b == len(bare) else b) for a, b in found)
+
+
 def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -180,10 +192,13 @@ def find(column) -> dict[int, list[tuple[int, int, int]]]:
             spans += [(place(s), 2, place(e)) for s, e in mine.get("hex", ())]
             if tokens := [(place(s), place(e)) for s, e in mine.get("token", ())]:
                 base = list(spans)
-                for i in discoveries([value[s:e] for s, e in tokens]):
-                    s, e = tokens[i]
-                    if not any(s < y and x < e for x, _, y in base):
+                tokens = [(s + x, s + y) for s, e in tokens for x, y in candidates(value[s:e])]
+                random = [tokens[i] for i in discoveries([value[s:e] for s, e in tokens])]
+                last = 0
+                for s, e in sorted(random, key=lambda place: (place[0], -place[1])):
+                    if e > last and not any(s < y and x < e for x, _, y in base):
                         spans.append((s, 3, e))
+                        last = e
             if spans:
                 out[a + d] = sorted(spans)
     return out

@@ -49,6 +49,21 @@ def test_more_candidates_need_more_evidence():
     assert s.discoveries([weak]) == [0] and s.discoveries([weak] + ["plain_text_of_no_use_at_all"] * 200) == []
 
 
+def test_keys_inside_runs_that_no_alphabet_holds():
+    import pyarrow as pa
+
+    key, other = "k3ZfQ9vLm0TzXw7RbYd2HsUe", "wJ4lrXUtnFEMI7K2bPxRfiCYq8EzLm3T"
+    runs = [f"AWS_ACCESS_KEY_NAME={key}", f"export DB_PASS={key}== x", f"https://x.org/a?sig={key}&b=1", f"é /v1/hook-name/{key}", f"/v1/hook-{key}/name", f"A_KEY={key}=B_KEY={other}", f"A-B={key[:12]}/{key[12:]}"]
+    found = s.find(pa.array(runs))
+    for i, run in enumerate(runs):
+        text = [run[a:e] for a, k, e in found[i] if k == 3]
+        assert all(any(x in t for t in text) for x in (key, other) if x in run) and text
+        assert all(len(t) < len(run) for t in text)
+    assert [runs[0][a:e] for a, _, e in found[0]] == [key] and [runs[1][a:e] for a, _, e in found[1]] == [key + "=="] and [runs[5][a:e] for a, _, e in found[5]] == [key, other]
+    assert s.candidates("images/2020/03/thumbnail-0123456") == [(0, 24)]
+    assert s.find(pa.array(["/some/long-path/of_plain/words-and_names=2020/thumbnails/internationalization-of-things"])) == {}
+
+
 def test_redaction(spark):
     key = generator.token_hex(20)
     rows = [(1, f"é token = {key} end"), (2, None), (3, "nothing")]
