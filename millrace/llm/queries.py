@@ -133,20 +133,18 @@ WITH RECURSIVE raw AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no
     FROM documents WHERE doc_id IS NOT NULL
 ), l AS (
-    SELECT * FROM (SELECT doc_id, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM raw) WHERE len(line) >= 16
+    SELECT * FROM (SELECT doc_id, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM raw) WHERE line <> ''
 ), u AS (
     SELECT row_number() OVER () AS id, * FROM (SELECT line, min({'doc_id': doc_id, 'line_no': line_no}) AS first, count(*) AS n_copies FROM l GROUP BY line)
-), cuts AS (
-    SELECT id, line, shift, n, j, [0, n // 4, n // 2, n // 2 + (n - n // 2) // 2, n] AS cut
-    FROM (SELECT *, len(line) - shift AS n FROM u, (VALUES (0), (1)) s(shift)), (VALUES (1), (2), (3), (4)) p(j)
 ), k AS (
-    SELECT id, line, shift, n, j, left(line, cut[j]) || substr(line, len(line) - n + cut[j + 1] + 1) AS key FROM cuts
+    SELECT id, line, shift, n, j, CASE j WHEN 1 THEN left(line, n // 2) ELSE right(line, n - n // 2) END AS half
+    FROM (SELECT *, len(line) - shift AS n FROM u, (VALUES (0), (1)) s(shift) WHERE len(line) >= 15), (VALUES (1), (2)) p(j)
 ), c AS (
     SELECT DISTINCT x.id AS a, y.id AS b, x.line AS s, y.line AS t
-    FROM k x JOIN k y ON x.n = y.n AND x.j = y.j AND x.key = y.key AND x.shift = 0 AND x.id <> y.id AND (y.shift = 1 OR x.id < y.id)
+    FROM k x JOIN k y ON x.n = y.n AND x.j = y.j AND x.half = y.half AND x.shift = 0 AND x.id <> y.id AND (y.shift = 1 OR x.id < y.id)
 ), links AS (
     SELECT a, b FROM c
-    WHERE len(list_filter(range(0, len(s) + 1), lambda i: left(s, i) = left(t, i) AND substr(s, i + 2 - (len(t) - len(s))) = substr(t, i + 2))) > 0
+    WHERE len(t) >= 16 AND len(list_filter(range(0, len(s) + 1), lambda i: left(s, i) = left(t, i) AND substr(s, i + 2 - (len(t) - len(s))) = substr(t, i + 2))) > 0
 ), pairs AS (
     SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach(node, top) AS (
