@@ -13,8 +13,8 @@ from millrace.llm._work import stored
 
 #: Words in a shingle and the similarity, in percent, from which documents are near copies.
 SHINGLE, PERCENT = 5, 80
-#: Share of a line's characters, in percent, within which edits make it a near copy; one edit always does.
-LINE_PERCENT = 2
+#: Lines of 16 characters or more are near copies within one edit, or 1 % of the longer one's characters, three at most.
+LINE_THRESHOLD = lines.Threshold(edits=1, percent=1, most=3)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within one edit, or edits of ``LINE_PERCENT`` of their characters, of an earlier one go; so do documents without any other line."""
-    return _counted(lines.deduplicate(docs, percent=LINE_PERCENT))
+    """Lines that are near copies of an earlier one, as ``LINE_THRESHOLD`` says, go; so do documents without any other line."""
+    return _counted(lines.deduplicate(docs, threshold=LINE_THRESHOLD))
 
 
 def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
