@@ -9,6 +9,22 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Set on a local session that names no shared folder.
+_OWN = "millrace.scratch.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from spark.checkpoint.dir; a local session that names none gets one of its own."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = spark.conf.get(_OWN, None)
+    if own is None:
+        own = tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set(_OWN, own)
+    return own
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import urllib.parse
 import urllib.request
 import uuid
@@ -11,6 +10,8 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
+from millrace.session import shared_dir
+
 
 def is_remote(resource: Any) -> bool:
     """Whether Spark's file systems can't read it, but the driver can fetch it."""
@@ -33,11 +34,10 @@ def open_resource(resource: Any, mode: str = "r", encoding: str | None = "utf-8"
 
 def fetched(spark: SparkSession, resource: Any) -> str:
     """A path that executors can read: remote resources and handles are copied by the driver into the shared folder that
-    spark.checkpoint.dir names, or a folder of its own where there is none."""
+    spark.checkpoint.dir names, or one of its own in a local session without it."""
     if not is_remote(resource) and not hasattr(resource, "read"):
         return str(resource)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    path = f"{folder.rstrip('/')}/fetched-{uuid.uuid4().hex}.data"
+    path = f"{shared_dir(spark)}/fetched-{uuid.uuid4().hex}.data"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
     handle, close = open_resource(resource, "rb") if is_remote(resource) else (resource, False)
