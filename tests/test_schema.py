@@ -65,8 +65,9 @@ def test_metadata_goes_with_columns(spark):
     assert retype(df, {"a": {"storage_type": "string"}}).schema["a"].dataType.simpleString() == "string"
 
 
-names = st.text("abcdef", min_size=1, max_size=3)
-trees = st.recursive(st.integers() | st.text(max_size=3) | st.lists(st.integers(), max_size=2), lambda x: st.dictionaries(names, x, min_size=1, max_size=3), max_leaves=12)
+names = st.sampled_from(["a", "b", "ab", "abc"])
+leaves = st.sampled_from([0, -7, "", "x", None]) | st.lists(st.integers(0, 9), max_size=2)
+trees = leaves | st.dictionaries(names, leaves | st.dictionaries(names, leaves, min_size=1, max_size=2), min_size=1, max_size=3)
 
 
 @given(st.dictionaries(names, trees, max_size=4))
