@@ -226,8 +226,9 @@ def canonical(column: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(joined), F.when(F.trim(joined) == "", F.lit("")).otherwise(F.lit(" ")))
 
 
-def _spaces(column: Column) -> Column:
-    return F.length(column) - F.length(F.replace(column, F.lit(" "), F.lit("")))
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def whole(pattern: str) -> str:
@@ -237,19 +238,18 @@ def whole(pattern: str) -> str:
 
 def places(column: Column, pattern: Column) -> Column:
     """Intervals of words (first, word after the last) of the matches in a canonical text of a pattern made by ``whole``."""
-    matches = F.regexp_extract_all(column, pattern, 1)
-    gaps = F.split(column, pattern, -1)
-    # A match begins after the words of the gaps and matches before it.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("found"))
+    # Words never hold control characters: these mark where a match begins and ends. Then places are read by index.
+    marked = F.regexp_replace(column, pattern, "\u0001$1\u0002")
 
-    def step(acc: Column, pair: Column) -> Column:
-        first = acc["at"] + _spaces(pair["gap"])
-        size = _spaces(pair["match"]) + 1
-        here = F.struct((first - 1).cast("int").alias("a"), (first - 1 + size).cast("int").alias("b"))
-        return F.struct((first + size - 1).cast("int").alias("at"), F.concat(acc["found"], F.array(here)).alias("found"))
+    def at(words: Column, sign) -> Column:
+        return F.filter(F.transform(words, lambda w, i: F.when(sign(w), i)), lambda i: i.isNotNull())
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"))
-    return F.aggregate(pairs, start, step)["found"]
+    def read(words: Column) -> Column:
+        begins, ends = at(words, lambda w: w.startswith("\u0001")), at(words, lambda w: w.endswith("\u0002"))
+        # The text begins with a space, so that its first word has the index 1.
+        return F.zip_with(begins, ends, lambda a, b: F.struct((a - 1).alias("a"), b.alias("b")))
+
+    return let(F.split(marked, " ", -1), read)
 
 
 def _rules_column() -> Column:
@@ -260,8 +260,12 @@ def _rules_column() -> Column:
 
 def detections(column: Column) -> Column:
     """All rules' matches in a canonical text, unsuppressed: array of (a, b, priority, label, weight)."""
-    tried = F.filter(_rules_column(), lambda r: F.contains(column, r["keyword"]))
-    matched = F.filter(tried, lambda r: F.regexp_like(column, r["pattern"]))
+    # First one pattern for all rules of a keyword, a literal that is compiled once; then those rules of the few left.
+    by_keyword: dict[str, list[str]] = {}
+    for r in RULES:
+        by_keyword.setdefault(r.keyword, []).append(r.pattern)
+    hit = [F.when(F.contains(column, F.lit(k)) & column.rlike(whole("|".join(p))), F.lit(k)) for k, p in sorted(by_keyword.items())]
+    matched = let(F.array_compact(F.array(*hit)), lambda keys: F.filter(_rules_column(), lambda r: F.array_contains(keys, r["keyword"]) & F.regexp_like(column, r["pattern"])))
 
     def intervals(r: Column) -> Column:
         return F.transform(places(column, r["pattern"]), lambda m: F.struct(m["a"].alias("a"), m["b"].alias("b"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))
@@ -270,17 +274,37 @@ def detections(column: Column) -> Column:
 
 
 def unsuppressed(found: Column) -> Column:
-    """``found`` without intervals inside a longer one, or equal to one of a better priority (then of the smaller label)."""
+    """``found`` without intervals inside a longer one, or equal to one of a better priority (then of the smaller label).
+
+    In order of their begins, the longer and better ones first, those stay that end later than all before them. The
+    furthest end before a place is that of whole runs of about the square root of their number, and of its own run so far.
+    """
+
+    def later(a: Column, b: Column) -> Column:
+        order = [(a["a"], b["a"]), (b["b"], a["b"]), (a["priority"], b["priority"]), (a["label"], b["label"])]
+        out = F.lit(0)
+        for x, y in reversed(order):
+            out = F.when(x < y, -1).when(x > y, 1).otherwise(out)
+        return out
+
+    def kept(order: Column) -> Column:
+        run = F.greatest(F.ceil(F.sqrt(F.size(order))), F.lit(1)).cast("int")
+        state = F.struct(order.alias("order"), F.transform(order, lambda d: d["b"]).alias("ends"), run.alias("run"))
+        return let(state, lambda s: let(furthest(s), lambda whole: chosen(s, whole)))
+
+    def furthest(s: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(s["ends"]) / s["run"]).cast("int") - 1, F.lit(0)))
+        return F.transform(runs, lambda k: F.array_max(F.slice(s["ends"], k * s["run"] + 1, s["run"])))
 
-    def beaten(d: Column) -> Column:
-        def by(e: Column) -> Column:
-            longer = (e["b"] - e["a"]) > (d["b"] - d["a"])
-            better = (e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & (e["label"] < d["label"]))
-            return (e["a"] <= d["a"]) & (e["b"] >= d["b"]) & (longer | better)
+    def chosen(s: Column, whole: Column) -> Column:
+        def stays(d: Column, i: Column) -> Column:
+            runs, inside = F.floor(i / s["run"]).cast("int"), (i % s["run"]).cast("int")
+            before = F.greatest(F.array_max(F.slice(whole, F.lit(1), runs)), F.array_max(F.slice(s["ends"], runs * s["run"] + 1, inside)))
+            return F.when(d["b"] > F.coalesce(before, F.lit(-1)), d)
 
-        return F.exists(found, by)
+        return F.filter(F.transform(s["order"], stays), lambda d: d.isNotNull())
 
-    return F.filter(found, lambda d: ~beaten(d))
+    return let(F.array_sort(found, later), kept)
 
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

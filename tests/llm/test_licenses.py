@@ -108,3 +108,14 @@ def test_labels_and_score_equal_all_rules_tried(spark):
     for i, t in enumerate(texts):
         labels, score = by_rules(t)
         assert out[i].labels == labels and abs(out[i].score - score) < 1e-9, t
+
+
+def test_very_long_texts_repeated_rows_and_null_ids(spark):
+    long = "apache license, version 2.0 é general public license\nmit license spdx-license-identifier: gpl-2.0-only " * 20_000
+    rows = [(1, long), (1, long), (None, TEXTS[3]), (None, TEXTS[3]), (2, "x" * 300_000 + " mit license"), (None, None)]
+    out = lic.scan(frame(spark, rows)).drop("detections").collect()
+    assert len(out) == len(rows)
+    for i, t in rows:
+        own = [r for r in out if r.doc_id == i and r.n_words == brute(t)[0]]
+        assert own and all((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(t) for r in own)
+    assert {r.labels for r in out if r.doc_id == 1} == {"apache,apache-2.0,gpl,gpl-2.0-only,mit"}
