@@ -12,14 +12,20 @@ Everything is DataFrame functions; the assignment is a fold over the sorted slot
 
 Defined cases: a null text has 0 bytes and the checksum of the empty text; a null id is hashed like any value; repeated rows
 fall into one slot and get places of their own; an empty table gives no rows; fewer records than shards leave shards
-empty; other columns are ignored by ``report``. Equal texts need not share a shard.
+empty; other columns are ignored by ``report``; a very long text is a large slot. Equal texts are a group that the law
+doesn't keep together: a slot is a hash of id and text, so that copies scatter over all shards. One shard for them would
+break the law as soon as a group of copies is larger than a shard.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import shared_dir
+
 SHARDS = 40
 SLOTS = 8192
 #: Bytes that a record takes besides its text.
@@ -92,10 +98,16 @@ def write_map(shard_map: DataFrame, path: str) -> None:
     shard_map.write.partitionBy("version").mode("append").parquet(path)
 
 
+def has_map(spark, path: str) -> bool:
+    """Whether any version of a map is under ``path``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_map(spark, path: str, version: int | None = None) -> DataFrame:
     """A version of the map, by default the newest."""
-    kept = spark.read.parquet(path)
-    wanted = kept.agg(F.max("version")).first()[0] if version is None else version
+    kept = spark.read.schema(MAP).parquet(path)
+    wanted = (kept.agg(F.max("version")).first()[0] or 0) if version is None else version
     return kept.filter(F.col("version") == wanted).select("vslot", "shard", "bytes", "records", "base", F.col("version").cast("int"))
 
 
@@ -107,15 +119,22 @@ def place(records: DataFrame, shard_map: DataFrame) -> DataFrame:
     return joined.withColumn("slot", (F.col("base") + F.col("_n")).cast("bigint"))
 
 
-def report(documents: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version."""
+def report(documents: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """A row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
+
+    ``path`` is where the versions of the map are kept, by default a new place in the shared folder. If there is one, it is
+    edited for the sizes of now; the next version is written, read back, and places the records.
+    """
+    spark = documents.sparkSession
+    path = path or f"{shared_dir(spark)}/shard-map-{uuid.uuid4().hex}"
     records = documents.select(
         F.col(id_col).alias("doc_id"),
         size_of(text_col).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("bigint").alias("text_crc32"),
         slot_of(id_col, text_col, slots).alias("vslot"),
     )
-    shard_map = assign(slot_sizes(records), shards)
-    return place(records, shard_map).select(
+    sizes = slot_sizes(records)
+    write_map(rebalance(read_map(spark, path), sizes, shards) if has_map(spark, path) else assign(sizes, shards), path)
+    return place(records, read_map(spark, path)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version")
     )

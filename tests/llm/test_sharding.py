@@ -54,3 +54,15 @@ def test_rebalancing_moves_few_slots_and_counts_versions(spark, tmp_path):
     for r in placed:
         places.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in places.values()) and len(placed) == len(rows)
+
+
+def test_report_places_by_the_stored_map_and_edits_it(spark, tmp_path):
+    rows = [(i, t) for i, t in corpus(1, 300)] + [(None, "x"), (7, "y " * 200_000), (8, "y"), (8, "y")]
+    path = str(tmp_path / "map")
+    for version, more in ((1, []), (2, [(1000 + i, t) for i, t in corpus(2, 100)])):
+        out = s.report(frame(spark, rows + more), 8, 256, path=path).collect()
+        kept = {r.vslot: r.shard for r in s.read_map(spark, path).collect()}
+        assert len(out) == len(rows + more) and {r.map_version for r in out} == {version}
+        assert all(kept[r.vslot] == r.shard for r in out)
+    first = {r.vslot: r.shard for r in s.read_map(spark, path, 1).collect()}
+    assert sum(first[v] != kept[v] for v in first) < len(first) / 2
