@@ -7,7 +7,8 @@ partition selection keeps the block's best k. The k of all blocks then meet by q
 that tasks make of what they have read, and the best k of these remain. Nothing is skipped, so that scores are exact.
 
 Queries are a stated share of the rows and grow with them. They are counted first and sent in blocks of about
-``BLOCK_BYTES`` of weights, as many scans as there are blocks.
+``BLOCK_BYTES`` of weights, one after the other, as many scans as there are blocks. The answers of each block are written
+before the next one is read, so that neither the driver nor the executors nor the plan hold more than one.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, as query or as candidate; the
 empty vector scores 0 against any; vectors of other lengths score over their common places; a row with a null id takes
@@ -17,12 +18,16 @@ the query's own"); ties go to the smaller id; scores beyond a long are held at i
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._work import bounded_batches, task
+from millrace.llm._work import task
+from millrace.session import shared_dir, ship_package
 
 SCALE = 256
 K = 5
@@ -104,27 +109,32 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` its k best of all other rows."""
     spark = vectors.sparkSession
-    bounded_batches(spark)
+    ship_package(spark)
     rows = usable(vectors, id_col, vector_col)
     asked = rows.filter(F.col("id") % every == 0)
     count, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     in_bytes = max(1, block_bytes // (8 * max(1, width or 1)))
     block, blocks = min(block, in_bytes), max(1, -(-count // in_bytes))
     schema = "query_id bigint, vec_id bigint, score bigint"
-    found = None
-    for number in range(blocks):
+    # A partial selection over what each task has found comes before the exchange, for a few rows of each query.
+    near = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+
+    def best(number: int) -> tuple[DataFrame, Broadcast]:
         part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number) if blocks > 1 else asked
         table = part.toArrow()
         sent = spark.sparkContext.broadcast((table["id"].to_numpy(), matrix(table["v"], scale)))
-        scanned = rows.mapInArrow(_scanner(sent, k, scale, block), schema)
-        found = scanned if found is None else found.unionAll(scanned)
-    # A partial selection over what each task has found comes before the exchange, for a few rows of each query.
-    near = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(near))
-        .filter(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+        found = rows.mapInArrow(_scanner(sent, k, scale, block), schema).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
+        return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), sent
+
+    if blocks == 1:
+        return best(0)[0]
+    # The driver holds one block at a time: its answers are written, then it is let go.
+    path = f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex}"
+    for number in range(blocks):
+        found, sent = best(number)
+        found.write.mode("append").parquet(path)
+        sent.destroy()
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def _scanner(sent, k: int, scale: float, block: int):
