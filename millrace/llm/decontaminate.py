@@ -6,7 +6,8 @@ length. Documents are scanned in one pass, in batches of arrays: the hash of eac
 windows' hashes, and each match is confirmed on the words themselves. A word inside any occurrence is hit.
 
 The benchmark is sent to the executors in blocks of at most ``BLOCK_BYTES`` of text. Its size is measured first; a
-benchmark of several blocks is as many scans in a row, each of which adds to the hits of the one before it.
+benchmark of several blocks is as many scans in a row, each of which adds to the hits that the one before it wrote, so that
+the driver, the executors and the plan never hold more than one block.
 
 Defined cases: a null or empty text has no words, no hits and is not contaminated; a null benchmark text has no
 windows; a null item id marks words but is not named; repeated rows of either table each stand for themselves, an item
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, aside, bounded_batches, keeps, task, widen
+from millrace.llm._work import arrow_schema, aside, keeps, stored, task, widen
+from millrace.session import ship_package
 
 WINDOW = 13
 #: A document is contaminated if one word in so many is hit.
@@ -120,7 +122,7 @@ def scan(
     disjoint and sorted) and ``_hit_items`` (ids with an occurring window, as text). With ``removing`` contaminated ones
     are left out and hit spans cut, in the pass that scans the last block."""
     spark = documents.sparkSession
-    bounded_batches(spark)
+    ship_package(spark)
     schema = widen(documents.schema, SCANNED)
     out, again, ahead = documents, False, None
     blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
@@ -129,6 +131,10 @@ def scan(
         ahead = next(blocks, None)
         sent = spark.sparkContext.broadcast((block, window))
         out = out.mapInArrow(_scanner(sent, text_col, again, removing and ahead is None, schema), schema)
+        if ahead is not None:
+            # One block at a time: its hits are written with the documents, then it is let go.
+            out = stored(out, "scanned")
+            sent.destroy()
         block, again = ahead, True
     return out
 
