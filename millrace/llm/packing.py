@@ -1,38 +1,48 @@
 """Packing: documents into windows of tokens, filled with neighbours that a sharded BM25 index retrieves.
 
-Documents are dealt by a hash of their id and text into shards of about ``SHARD_BYTES`` of text; the number of shards
-follows the measured size of the corpus, so that a shard never grows with it. Each shard is one Arrow group: its texts
-are tokenised, its tokens are indexed (postings with BM25 weights), and windows are filled greedily. A window starts
-with a seed document: the one that the window before cut, or else the first unused one in the order of ids. The index
-gives its unused neighbours by score, and these are placed until the window is full; the last is cut there, and its rest
-seeds the next window. If no neighbour is left, the next unused document is a further seed. What is left at a shard's
-end, less than a window, is cut into sequences whose lengths are powers of two, so that no sequence needs padding.
+1. Texts are tokenised once into a table of ids. Document frequencies of all tokens and the mean length are counted over
+   the whole corpus; a row per token of the vocabulary, which bounds what is sent to the executors.
+2. Documents are dealt by content: by their strongest token (the highest BM25 weight under those counts), so that a
+   document's neighbours are where it is. Tokens that lead few documents share a shard; one that leads more than a shard
+   holds is split by the documents' second strongest token, and what is still too large, such as a group of copies, by
+   number. So shards hold about ``SHARD_TOKENS`` each, whatever the corpus' size or skew, and what meets in one does not
+   thin out as the corpus grows.
+3. Each shard is one Arrow group: its tokens are indexed (postings with BM25 weights), and windows are filled greedily. A
+   window starts with a seed document: the one that the window before cut, or else the first unused one in the order of
+   ids. The index gives its unused neighbours by score, and these are placed until the window is full; the last is cut
+   there, and its rest seeds the next window. If no neighbour is left, the next unused document is a further seed. What is
+   left at a shard's end, less than a window, is cut into sequences whose lengths are powers of two, so that no sequence
+   needs padding.
 
 Tokens of a text are those of its runs between ASCII white space, in order: the tokenizer's normaliser and its splitting
 never look across white space, so that a bounded table of runs saves most calls.
 
 Defined cases: a null or empty text is one token, the end mark; each row is packed, repeated rows too; an empty table gives
-no rows; other columns are ignored.
+no rows; a text longer than a shard makes its shard larger; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, bounded_batches, keeps, serve
+from millrace.llm._work import arrow_schema, keeps, serve, stored, task
+from millrace.session import ship_package
 
 LENGTH = 4096
 END = 2
-SHARD_BYTES = 8 << 20
-#: Terms of the seed that are looked up, and neighbours taken, for one query of the index.
-TERMS, NEIGHBOURS = 16, 32
+SHARD_TOKENS = 2 << 20
+#: Strongest terms of a seed that are looked up in one query of the index; None: all of them.
+TERMS = 64
+#: Neighbours that are put in order at once; the others are when these are used up.
+AT_ONCE = 64
 K1, B = 1.2, 0.75
 #: A worker process keeps the ids of at most half as many runs as this table has places.
 TABLE_BITS = 22
@@ -202,7 +212,7 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-keeps("packing", _encoders.clear)
+keeps("tokens", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -212,54 +222,80 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def counted(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, terms, how often), by term and then document, of the distinct terms of each document."""
+    n = max(1, len(offsets) - 1)
+    keys = ids.astype(np.uint64) * np.uint64(n) + np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
+    if len(keys) and int(ids.max()) < ((1 << 32) - 1) // n:
+        keys = keys.astype(np.uint32)
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    keys, tf = keys[first].astype(np.int64), np.diff(np.append(first, len(keys)))
+    return keys % n, keys // n, tf
+
+
+class Corpus:
+    """What BM25 takes from all documents: how many hold a token, and their mean length."""
+
+    def __init__(self, n: int, tokens: int, df: np.ndarray):
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.mean = max(1.0, tokens / max(n, 1))
+
+    @classmethod
+    def of(cls, ids: np.ndarray, offsets: np.ndarray) -> Corpus:
+        _, terms, _ = counted(ids, offsets)
+        return cls(len(offsets) - 1, len(ids), np.bincount(terms, minlength=1))
+
+    def strongest(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two terms of each document that weigh most in it, the smaller first in a tie; one twice if it is the only one."""
+        documents, terms, tf = counted(ids, offsets)
+        order = np.lexsort((terms, -self.idf[terms] * (tf / (tf + K1)), documents))
+        documents, terms = documents[order], terms[order]
+        at = np.searchsorted(documents, np.arange(len(offsets) - 1))
+        last = np.searchsorted(documents, np.arange(len(offsets) - 1), side="right") - 1
+        return terms[at], terms[np.minimum(at + 1, last)]
+
+
 class Index:
     """BM25 postings of the documents of one shard; terms are token ids."""
 
-    def __init__(self, ids: np.ndarray, offsets: np.ndarray):
-        n = len(offsets) - 1
-        lengths = np.diff(offsets)
-        terms = int(ids.max()) + 1 if len(ids) else 1
-        wide = np.uint32 if terms * n < 1 << 32 else np.uint64
-        keys = ids.astype(wide) * wide(n) + np.repeat(np.arange(n, dtype=wide), lengths)
-        keys.sort()
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(first, len(keys))).astype(np.float32)
-        keys = keys[first]
-        self.documents = (keys % wide(n)).astype(np.int32) if n else np.zeros(0, np.int32)
-        self.begin = np.searchsorted(keys // wide(max(n, 1)), np.arange(terms + 1))
-        df = np.diff(self.begin)
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = K1 * (1 - B + B * lengths / max(1.0, float(lengths.mean()) if n else 1.0))
-        self.weights = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.documents].astype(np.float32))
-        self.scores = np.zeros(n, dtype=np.float32)
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, corpus: Corpus):
+        self.size, self.idf = len(offsets) - 1, corpus.idf
+        self.documents, terms, tf = counted(ids, offsets)
+        self.begin = np.searchsorted(terms, np.arange(len(corpus.idf) + 1))
+        norm = (K1 * (1 - B + B * np.diff(offsets) / corpus.mean)).astype(np.float32)
+        tf = tf.astype(np.float32)
+        self.weights = corpus.idf[terms] * tf * np.float32(K1 + 1) / (tf + norm[self.documents])
+
+    def scores(self, ids: np.ndarray, terms: int | None = TERMS) -> np.ndarray:
+        """Of all documents against the ``terms`` strongest of the tokens of a seed."""
+        asked, tf = np.unique(ids, return_counts=True)
+        if terms is not None and len(asked) > terms:
+            asked = asked[np.argpartition(-self.idf[asked] * (tf / (tf + K1)), terms)[:terms]]
+        first = self.begin[asked]
+        sizes = self.begin[asked + 1] - first
+        ends = np.cumsum(sizes)
+        at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.documents[at], self.weights[at], minlength=self.size)
 
-    def neighbours(self, ids: np.ndarray, unused: np.ndarray, most: int = NEIGHBOURS) -> list[int]:
+    def neighbours(self, ids: np.ndarray, unused: np.ndarray, terms: int | None = TERMS) -> Iterator[int]:
         """Unused documents by falling score against the tokens of a seed, ties in order; only positive scores."""
-        terms, tf = np.unique(ids, return_counts=True)
-        if len(terms) > TERMS:
-            value = self.idf[terms] * (tf / (tf + K1))
-            top = np.argpartition(-value, TERMS)[:TERMS]
-            terms = terms[top]
-        scores = self.scores
-        scores[:] = 0
-        for t in terms.tolist():
-            a, b = self.begin[t], self.begin[t + 1]
-            scores[self.documents[a:b]] += self.weights[a:b]
-        scores[~unused] = 0
-        if len(scores) > most:
-            top = np.argpartition(-scores, most)[:most]
-        else:
-            top = np.arange(len(scores))
-        top = top[scores[top] > 0]
-        return top[np.lexsort((top, -scores[top]))].tolist()
+        scores = self.scores(ids, terms)
+        left = np.flatnonzero(unused & (scores > 0))
+        while len(left):
+            own = scores[left]
+            ready = np.ones(len(left), dtype=bool) if len(left) <= AT_ONCE else own >= np.partition(own, len(own) - AT_ONCE)[len(own) - AT_ONCE]
+            top = left[ready]
+            yield from top[np.lexsort((top, -scores[top]))].tolist()
+            left = left[~ready]
 
 
-def fill(ids: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
+def fill(ids: np.ndarray, offsets: np.ndarray, length: int = LENGTH, corpus: Corpus | None = None, terms: int | None = TERMS) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length) that hold each token once; all but the last few are full."""
     n = len(offsets) - 1
     sizes = np.diff(offsets).tolist()
     unused = np.ones(n, dtype=bool)
-    index = Index(ids, offsets)
+    index = Index(ids, offsets, corpus or Corpus.of(ids, offsets))
     sequences: list[list[tuple[int, int, int]]] = []
     window: list[tuple[int, int, int]] = []
     room, following = length, 0
@@ -288,8 +324,7 @@ def fill(ids: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> list[lis
             seed = following
             place(seed, 0)
         if room < length and not rest:
-            # The last tokens of a long seed stand for it.
-            for d in index.neighbours(ids[max(offsets[seed], offsets[seed + 1] - length) : offsets[seed + 1]], unused):
+            for d in index.neighbours(ids[offsets[seed] : offsets[seed + 1]], unused, terms):
                 place(d, 0)
                 if room == length or rest:
                     break
@@ -319,39 +354,137 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _binary(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Ids of each text as little-endian bytes."""
+    data = np.ascontiguousarray(ids, dtype="<u4")
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets * 4, dtype=np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids one text after the other, offsets) of what ``_binary`` made."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = (pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+    _, where, data = column.buffers()
+    offsets = np.frombuffer(where, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]].view("<u4"), (offsets - offsets[0]) // 4
+
+
+def _tokens(slim: DataFrame, path: str | None) -> DataFrame:
+    """doc_id and ids, with the end mark, of each row."""
+    schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("ids binary")])
+    arrow = arrow_schema(schema)
+
+    def run(batches):
+        encode = encoder(path or tokenizer_path())
+        for batch in batches:
+            for a, b, _, _ in text.chunks(batch.column(1), 4 * text.CHUNK):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), _binary(*encode.batch(part.column(1)))], schema=arrow)
+
+    return slim.mapInArrow(task("tokens", run), schema)
+
+
+def _corpus(tokens: DataFrame) -> Corpus:
+    """Counts over all documents: at most a row per token of the vocabulary comes to the driver."""
+
+    def run(batches):
+        df, documents, length = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            ids, offsets = _unpacked(batch.column(0))
+            _, terms, _ = counted(ids, offsets)
+            found = np.bincount(terms, minlength=len(df))
+            found[: len(df)] += df
+            df, documents, length = found, documents + len(offsets) - 1, length + len(ids)
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, [-2, -1])), pa.array(np.append(df[held], [documents, length]))], names=["term", "n"])
+
+    rows = tokens.select("ids").mapInArrow(task("packing", run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(rows["term"].to_pylist(), rows["n"].to_pylist()))
+    df = np.zeros(max([0, *found]) + 1, np.int64)
+    for term, n in found.items():
+        if term >= 0:
+            df[term] = n
+    return Corpus(found.get(-2, 0), found.get(-1, 0), df)
+
+
+#: Numbers of shards that share tokens begin here; vocabularies must be smaller.
+_SHARED = 1 << 17
+#: Bits of a sequence's number inside its shard, and of the number of a part of one token.
+_SEQUENCE_BITS, _PART_BITS = 20, 24
+
+
+def _dealt(tokens: DataFrame, corpus: Corpus, shard_tokens: int) -> tuple[DataFrame, int]:
+    """(doc_id, ids, shard) and about how many shards there are."""
+    if len(corpus.idf) > _SHARED:
+        raise ValueError(f"token ids must be below {_SHARED}")
+    sent = tokens.sparkSession.sparkContext.broadcast(corpus)
+    schema = T.StructType([tokens.schema["doc_id"], *T.StructType.fromDDL("ids binary, t1 bigint, t2 bigint")])
+    arrow = arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                t1, t2 = sent.value.strongest(*_unpacked(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, pa.array(t1), pa.array(t2)], arrow)], schema=arrow)
+
+    led = tokens.mapInArrow(task("packing", run), schema)
+    size = F.octet_length("ids") / 4 + 16
+    pairs = stored(led.groupBy("t1", "t2").agg(F.sum(size).alias("size")), "pairs")
+    # A row per token at most: large ones get parts of their own, the others share shards in their order.
+    by_first = pairs.groupBy("t1").agg(F.sum("size").alias("size")).withColumn("parts", F.ceil(F.col("size") / shard_tokens).cast("bigint"))
+    small = F.sum(F.when(F.col("parts") == 1, F.col("size")).otherwise(0)).over(Window.orderBy("t1").rowsBetween(Window.unboundedPreceding, -1))
+    place = F.when(F.col("parts") > 1, F.col("t1")).otherwise(_SHARED + F.floor(F.coalesce(small, F.lit(0)) / shard_tokens))
+    firsts = stored(by_first.select("t1", "parts", place.cast("bigint").alias("place")), "firsts")
+    part = F.pmod(F.xxhash64("t2"), F.col("parts"))
+    heavy = pairs.join(F.broadcast(firsts.filter("parts > 1")), "t1").groupBy("t1", part.alias("part"), "parts").agg(F.ceil(F.sum("size") / shard_tokens).cast("bigint").alias("pieces"))
+    # Further pieces of a part are numbered after the parts of its token.
+    more = F.coalesce(F.sum(F.col("pieces") - 1).over(Window.partitionBy("t1").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heavy = stored(heavy.filter("pieces > 1").select("t1", "part", "pieces", (F.col("parts") + more).alias("after")), "heavy")
+    count = firsts.agg(F.sum(F.when(F.col("parts") > 1, F.col("parts")).otherwise(0)), F.count_distinct("place")).first()
+    extra = heavy.agg(F.sum("pieces")).first()[0] or 0
+    placed = led.join(F.broadcast(firsts), "t1").withColumn("part", part).join(heavy, ["t1", "part"], "left")
+    # Rows of one token pair are dealt by number; the table of tokens is stored, so that a row keeps its number.
+    piece = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("pieces")), F.lit(0))
+    shard = F.shiftleft("place", _PART_BITS) + F.when(piece > 0, F.col("after") + piece - 1).otherwise(F.col("part"))
+    return placed.select("doc_id", "ids", shard.alias("shard")), int((count[0] or 0) + (count[1] or 0) + extra)
+
+
 def pack(
     documents: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     path: str | None = None,
     length: int = LENGTH,
-    shard_bytes: int = SHARD_BYTES,
+    shard_tokens: int = SHARD_TOKENS,
+    terms: int | None = TERMS,
     keep_ids: bool = False,
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if ``keep_ids``.
 
-    ``path`` is the tokenizer's file as executors see it; by default each takes its own installed copy.
+    ``path`` is the tokenizer's file as executors see it; by default each takes its own installed copy. ``terms`` bounds the
+    terms of a seed that are looked up; None looks up all.
     """
-    bounded_batches(documents.sparkSession)
+    ship_package(documents.sparkSession)
     slim = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    size = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+    tokens = stored(_tokens(slim, path), "tokens")
+    corpus = _corpus(tokens)
+    dealt, shards = _dealt(tokens, corpus, shard_tokens)
+    sent = documents.sparkSession.sparkContext.broadcast(corpus)
     more = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * keep_ids
     schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL(more)])
     arrow = arrow_schema(schema)
 
     def run(key, table):  # annotations would be strings here, which applyInArrow does not read
         serve("packing")
-        encode = encoder(path or tokenizer_path())
-        order = table.select(["doc_id", "text"]).add_column(0, "at", pa.array(range(table.num_rows))).sort_by([("doc_id", "ascending"), ("text", "ascending")])["at"]
-        table = table.take(order)
-        ids, offsets = encode.batch(table["text"])
+        table = table.select(["doc_id", "ids"]).sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+        ids, offsets = _unpacked(table["ids"])
         data = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
         begin, sizes = offsets.tolist(), np.diff(offsets).tolist()
-        sequences = fill(ids, offsets, length)
+        sequences = fill(ids, offsets, length, sent.value, terms)
         flat = [(d, start, take, number, sum(x[2] for x in pieces[:k])) for number, pieces in enumerate(sequences) for k, (d, start, take) in enumerate(pieces)]
-        base = key[0].as_py() << 32
+        base = key[0].as_py() << _SEQUENCE_BITS
         columns = list(zip(*flat))
         raw = [data[4 * (begin[d] + start) : 4 * (begin[d] + start + take)] for d, start, take, _, _ in flat]
         long = lambda x: pa.array(x, pa.int64())
@@ -367,4 +500,5 @@ def pack(
         ]
         return pa.Table.from_arrays(out, schema=arrow)
 
-    return dealt.groupBy("shard").applyInArrow(run, schema)
+    # As many partitions as shards, so that a task's share doesn't grow with the corpus.
+    return dealt.repartition(max(1, min(shards, 1 << 16)), "shard").groupBy("shard").applyInArrow(run, schema)

@@ -34,7 +34,7 @@ def test_ids_equal_those_of_whole_texts():
 
 def test_every_id_is_in_one_piece_and_nothing_is_padded(spark):
     rows = corpus(5, 120) + [(900, None), (900, None), (None, "x")]
-    out = p.pack(clashing(frame(spark, rows)), shard_bytes=20_000, keep_ids=True).collect()
+    out = p.pack(clashing(frame(spark, rows)), shard_tokens=6_000, keep_ids=True).collect()
     wanted = sorted((i, ids) for (i, _), ids in zip(rows, whole([t for _, t in rows])) if i is not None and i != 900)
     pieces, sequences = {}, {}
     for r in out:
@@ -50,7 +50,7 @@ def test_every_id_is_in_one_piece_and_nothing_is_padded(spark):
         s.sort(key=lambda r: r.offset)
         total = sum(r.length for r in s)
         assert [r.offset for r in s] == list(np.cumsum([0] + [r.length for r in s])[:-1]) and total <= 4096 and (total == 4096 or total & (total - 1) == 0)
-    assert len({r.sequence_id >> 32 for r in out}) > 1
+    assert len({r.sequence_id >> p._SEQUENCE_BITS for r in out}) > 1
 
 
 def test_neighbours_are_the_most_alike():
@@ -60,11 +60,11 @@ def test_neighbours_are_the_most_alike():
     ids, offsets = np.array([t for d in documents for t in d], "<u4"), np.arange(0, 60 * 150 + 1, 150)
     unused = np.ones(60, bool)
     unused[[0, 6]] = False
-    near = p.Index(ids, offsets).neighbours(ids[:150], unused)
+    near = list(p.Index(ids, offsets, p.Corpus.of(ids, offsets)).neighbours(ids[:150], unused))
     assert near[:8] and all(d % 6 == 0 and unused[d] for d in near[:8])
     for window in p.fill(ids, offsets, 600)[:10]:
         assert len({d % 6 for d, _, _ in window}) <= 2
-    scores = p.Index(ids, offsets)
+    scores = p.Index(ids, offsets, p.Corpus.of(ids, offsets))
     term, n = int(ids[0]), 60
     held = [documents[d].count(term) for d in range(60)]
     df = sum(x > 0 for x in held)
