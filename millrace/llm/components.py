@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm._work import stored
 
-ROUNDS = 60
+#: About the square of the logarithm of the longest path is needed; more is an error, never a partial result.
+ROUNDS = 200
 
 
 def _state(links: DataFrame) -> tuple:
@@ -45,5 +46,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before, state = state, _state(current)
         if state == before:
             break
+    else:
+        if state[0]:
+            raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
