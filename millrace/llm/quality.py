@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, aside, bounded_batches, task, widen
+from millrace.llm._work import arrow_schema, aside, task, widen
+from millrace.session import ship_package
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -75,7 +76,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def with_statistics(documents: DataFrame, text_col: str = "text", drop_text: bool = False) -> DataFrame:
     """``documents`` and a column of each statistic; without the text if ``drop_text``."""
-    bounded_batches(documents.sparkSession)
+    ship_package(documents.sparkSession)
     kept = [f for f in documents.schema if not (drop_text and f.name == text_col)]
     base = type(documents.schema)(kept)
     schema = widen(base, ", ".join(f"{_PREFIX}{f} double" for f in FEATURES))
@@ -220,7 +221,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label")).filter("_id is not null and _label in (0.0, 1.0)").filter(~held_out("_id"))
     count = known.count()
     if count > sample:
-        known = known.filter(F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * sample / count))
+        known = known.filter(F.xxhash64("_id", F.lit(17)) < F.lit(int(sample / count * 2.0**64) - (1 << 63)))
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
     rows = with_statistics(texts.select("_id", "_label", "_text"), "_text", drop_text=True).toArrow()
     columns = [rows[c].to_numpy() for c in ["_id", "_label", *(_PREFIX + f for f in FEATURES)]]
