@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import aside, bounded_batches, serve, stored, task
+from millrace.llm._work import aside, serve, stored, task
 from millrace.llm.components import components
+from millrace.session import ship_package
 
 BITS = 4
 ROWS = 5
@@ -244,7 +245,7 @@ def near_duplicates(
     table: np.ndarray = text.NONSPACE,
 ) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the smallest id reachable over links), kept."""
-    bounded_batches(documents.sparkSession)
+    ship_package(documents.sparkSession)
     minima = Minima(bands_for(percent / 100, rows), rows)
     slim = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = stored(_signed(slim, minima, shingle, table, False), "signed")

@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, bounded_batches, task
+from millrace.llm._work import arrow_schema, task
+from millrace.session import ship_package
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -157,6 +158,25 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
+def apart(random: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Those of ``random`` that overlap no span of ``base`` and don't end inside one chosen before; both lists are walked once."""
+    # Spans of several kinds may overlap: their union, in order.
+    union: list[list[int]] = []
+    for x, _, y in sorted(base):
+        if union and x <= union[-1][1]:
+            union[-1][1] = max(union[-1][1], y)
+        else:
+            union.append([x, y])
+    out, last, at = [], 0, 0
+    for s, e in sorted(random, key=lambda place: (place[0], -place[1])):
+        while at < len(union) and union[at][1] <= s:
+            at += 1
+        if e > last and not (at < len(union) and union[at][0] < e):
+            out.append((s, e))
+            last = e
+    return out
+
+
 def _found(data: bytes, word: bytes):
     at = data.find(word)
     while at >= 0:
@@ -186,19 +206,16 @@ def find(column) -> dict[int, list[tuple[int, int, int]]]:
             if len(value) == offsets[d + 1] - begin:
                 place = lambda at: at - begin
             else:
-                place = lambda at: len(raw[begin:at].decode("utf-8", "replace"))
+                # Code points that begin before each byte: all bytes but those that go on a character.
+                before = np.concatenate([[0], np.cumsum((data[begin : offsets[d + 1]] & 0xC0) != 0x80)])
+                place = lambda at: int(before[at - begin])
             spans = pattern_spans(value, d in assigns, d in accesses)
             mine = long.get(d, {})
             spans += [(place(s), 2, place(e)) for s, e in mine.get("hex", ())]
             if tokens := [(place(s), place(e)) for s, e in mine.get("token", ())]:
-                base = list(spans)
                 tokens = [(s + x, s + y) for s, e in tokens for x, y in candidates(value[s:e])]
                 random = [tokens[i] for i in discoveries([value[s:e] for s, e in tokens])]
-                last = 0
-                for s, e in sorted(random, key=lambda place: (place[0], -place[1])):
-                    if e > last and not any(s < y and x < e for x, _, y in base):
-                        spans.append((s, 3, e))
-                        last = e
+                spans += [(s, 3, e) for s, e in apart(random, spans)]
             if spans:
                 out[a + d] = sorted(spans)
     return out
@@ -206,7 +223,7 @@ def find(column) -> dict[int, list[tuple[int, int, int]]]:
 
 def report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its id, counts of pattern spans, base_sha256 and spans."""
-    bounded_batches(documents.sparkSession)
+    ship_package(documents.sparkSession)
     slim = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")])
@@ -230,7 +247,7 @@ def report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def redact(documents: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with ``mark`` in place of each span; overlapping spans are one."""
-    bounded_batches(documents.sparkSession)
+    ship_package(documents.sparkSession)
     schema = documents.schema
     arrow = arrow_schema(schema)
 

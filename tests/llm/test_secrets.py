@@ -69,3 +69,22 @@ def test_redaction(spark):
     rows = [(1, f"é token = {key} end"), (2, None), (3, "nothing")]
     out = {r.doc_id: r.text for r in s.redact(frame(spark, rows)).collect()}
     assert out == {1: "é [SECRET] end", 2: None, 3: "nothing"}
+
+
+def test_very_long_texts_repeated_rows_and_null_ids(spark):
+    rng = random.Random(3)
+    long = "é " + " ".join(f"{rng.getrandbits(128):032x} token={rng.getrandbits(60):015x} plain" for _ in range(20_000))
+    rows = [(1, long), (1, long), (None, "secret: abcdefgh1"), (None, "secret: abcdefgh1"), (2, "a" * 2_000_000), (None, None)]
+    out = s.report(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in out) == sorted((i or 0, *s.brute_force(t)) for i, t in rows)
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12))
+def test_random_spans_keep_apart_from_base_ones(random_, base_):
+    random_, base = [(a, a + n) for a, n in random_], [(a, 0, a + n) for a, n in base_]
+    wanted, last = [], 0
+    for a, b in sorted(random_, key=lambda x: (x[0], -x[1])):
+        if b > last and not any(a < y and x < b for x, _, y in base):
+            wanted.append((a, b))
+            last = b
+    assert s.apart(random_, base) == wanted
