@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from millrace.errors import FieldError
 from millrace.functions import cleansing
 from millrace.functions.expressions import translate
+from millrace.operators import order
 from millrace.schema import SPARK_TYPES, Field, FieldList, FieldMap, column, require, with_field
 from millrace.streaming.limits import require_batch
 
@@ -21,7 +23,7 @@ def field_map(df: DataFrame, map_fields: dict | None = None, drop_fields: Iterab
 
 
 def call(function: Callable, df: DataFrame, names: Sequence[str], result: T.DataType, by_name: bool = True, **kwargs) -> Column:
-    """The column of a callable: native if it takes columns and returns one, else a row-at-a-time function.
+    """The column of a callable: native if it takes columns and returns one, else called for each record of Arrow batches.
 
     ``by_name`` passes fields as keyword arguments, else by position.
     """
@@ -30,13 +32,13 @@ def call(function: Callable, df: DataFrame, names: Sequence[str], result: T.Data
         made = function(**dict(zip(names, columns)), **kwargs) if by_name else function(*columns, **kwargs)
         if isinstance(made, Column):
             return made
-    except Exception:  # it wants values, not columns
+    except (TypeError, ValueError, AttributeError, PySparkException):  # what columns raise where values are wanted
         pass
 
     def each(*values):
         return function(**dict(zip(names, values)), **kwargs) if by_name else function(*values, **kwargs)
 
-    return F.udf(each, result)(*columns)
+    return F.udf(each, result, useArrow=True)(*columns)
 
 
 def derive(
@@ -162,11 +164,35 @@ def binning(df: DataFrame, field: str, method: str = "width", size: float = 1, d
         step = (F.col("_hi") - F.col("_lo")) / size
         binned = F.when(step == 0, F.lit(1).cast("bigint")).otherwise(F.least(F.floor((v - F.col("_lo")) / step) + 1, F.lit(int(size)).cast("bigint")))
         return joined.withColumn(new, F.when(v.isNotNull(), binned)).drop("_lo", "_hi")
-    over = Window.partitionBy(*(column(df, n) for n in require(df, partition_by)))
+    names = require(df, partition_by)
+    if not names:
+        return _binned_over_all(df, v, method, int(size), new)
+    over = Window.partitionBy(*(column(df, n) for n in names))
     if method == "rank":
         return with_field(df, new, F.rank().over(over.orderBy(v.desc())))
     if method == "ntile":
         return with_field(df, new, F.ntile(int(size)).over(over.orderBy(v)))
     running = F.sum(v).over(over.orderBy(v).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(v).over(over)
-    return with_field(df, new, F.least(F.ceil(running / total * size), F.lit(int(size)).cast("bigint")))
+    return with_field(df, new, _of_sums(running, F.sum(v).over(over), int(size)))
+
+
+def _of_sums(running: Column, total: Column, bins: int) -> Column:
+    return F.least(F.ceil(running / total * bins), F.lit(bins).cast("bigint"))
+
+
+def _binned_over_all(df: DataFrame, v: Column, method: str, bins: int, new: str) -> DataFrame:
+    """Bins of one order over all records, which no task holds alone."""
+    if method == "rank":
+        return _kept(df, order.ranked(df, v, "_bin"), new)
+    if method == "ntile":
+        at = order.numbered(df, [v])
+        each, more = F.floor(F.col(order.TOTAL) / bins), F.col(order.TOTAL) % bins
+        place = F.col(order.PLACE)
+        late = more + F.ceil((place - more * (each + 1)) / F.greatest(each, F.lit(1)))
+        return _kept(df, at.withColumn("_bin", F.when(place <= more * (each + 1), F.ceil(place / (each + 1))).otherwise(late).cast("int")), new)
+    at = order.running(df, [v], v, "_so_far", "_sum")
+    return _kept(df, at.withColumn("_bin", _of_sums(F.col("_so_far"), F.col("_sum"), bins)), new)
+
+
+def _kept(df: DataFrame, binned: DataFrame, new: str) -> DataFrame:
+    return with_field(binned.select(*(column(binned, n) for n in df.columns), "_bin"), new, F.col("_bin")).drop("_bin")

@@ -41,10 +41,13 @@ def audit(df: DataFrame, distinct_threshold: int | None = 10, approximate: bool
     """
     if not approximate:
         require_batch(df, "an exact audit")
+    # With a threshold, exact counts are only of fields that a sketch, which is one pass, takes for small.
+    few = bool(distinct_threshold) and not approximate
     parts = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(df.schema):
         c = column(df, f.name)
-        parts += [_nulls(c).alias(f"nulls{i}"), _empties(c, f.dataType).alias(f"empties{i}"), F.coalesce(_distinct(c, f.dataType, approximate), F.lit(0) if _countable(f.dataType) else F.lit(None)).cast("bigint").alias(f"distinct{i}")]
+        sketched = approximate or (few and _plain(f.dataType))
+        parts += [_nulls(c).alias(f"nulls{i}"), _empties(c, f.dataType).alias(f"empties{i}"), F.coalesce(_distinct(c, f.dataType, sketched), F.lit(0) if _countable(f.dataType) else F.lit(None)).cast("bigint").alias(f"distinct{i}")]
     totals = df.agg(*parts)
     rows = [
         F.struct(
@@ -57,14 +60,40 @@ def audit(df: DataFrame, distinct_threshold: int | None = 10, approximate: bool
         )
         for i, f in enumerate(df.schema)
     ]
-    return totals.select(F.inline(F.array(*rows)))
+    if not few:
+        return totals.select(F.inline(F.array(*rows)))
+    small = [F.struct(F.lit(i).alias("at"), (F.col(f"distinct{i}") <= 2 * distinct_threshold + 10).alias("small")) for i, f in enumerate(df.schema) if _plain(f.dataType)]
+    stats = totals.select(F.inline(F.array(*rows)))
+    if not small:
+        return stats
+    counts = _values(df, totals.select(F.inline(F.array(*small))).filter("small").select("at")).groupBy("at").agg(F.count("*").alias("exact"))
+    names = {i: f.name for i, f in enumerate(df.schema)}
+    sketched = [i for i, f in enumerate(df.schema) if _plain(f.dataType)]
+    each = counts.select(F.element_at(F.create_map(*(x for i, n in names.items() for x in (F.lit(i), F.lit(n)))), F.col("at")).alias("field_name"), "exact")
+    joined = stats.join(F.broadcast(each), "field_name", "left")
+    exact = F.when(F.coalesce("exact", F.when(F.col("record_count") == 0, 0)) < distinct_threshold, F.coalesce("exact", F.lit(0)).cast("bigint"))
+    return joined.select(*(F.when(F.col("field_name").isin([names[i] for i in sketched]), exact).otherwise(F.col(c)).alias(c) if c == "distinct_count" else F.col(c) for c in stats.columns))
+
+
+def _plain(kind: T.DataType) -> bool:
+    """Whether a type's values, as text, are equal where they are equal."""
+    return isinstance(kind, T.AtomicType) and not isinstance(kind, (T.VariantType, T.BinaryType))
+
+
+def _values(df: DataFrame, fields: DataFrame) -> DataFrame:
+    """(at, v): the distinct values, as text, of the plain fields whose numbers ``fields`` has; others are dropped first."""
+    plain = [(i, column(df, f.name), f.dataType) for i, f in enumerate(df.schema) if _plain(f.dataType)]
+    # Both zeros are one value.
+    text = [F.struct(F.lit(i).alias("at"), (c + F.lit(0.0) if isinstance(k, (T.DoubleType, T.FloatType)) else c).cast("string").alias("v")) for i, c, k in plain]
+    return df.select(F.inline(F.array(*text))).join(F.broadcast(fields), "at").distinct()
 
 
 def field_statistics(df: DataFrame, distinct_threshold: int | None = 10, record_count: int | None = None) -> DataFrame:
     """A row per field: field, value_count, record_count, value_ratio, null_count, null_value_ratio, null_record_ratio,
     empty_string_count, storage_type, distinct_count, distinct_overflow and distinct_values (as text; null on overflow).
 
-    Values are gathered only up to the threshold: a field's distinct values are limited before they meet.
+    Values are gathered only of fields with fewer distinct ones than the threshold; the others' are dropped before they move.
+    Without a threshold all are gathered, as asked.
     """
     require_batch(df, "field statistics")
     parts = [F.count(F.lit(1)).alias("n")]
@@ -91,13 +120,14 @@ def field_statistics(df: DataFrame, distinct_threshold: int | None = 10, record_
         for i, f in enumerate(df.schema)
     ]
     stats = totals.select(F.inline(F.array(*rows)))
-    plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    plain = [(i, f.name) for i, f in enumerate(df.schema) if _plain(f.dataType)]
     if not plain:
         return stats.withColumn("distinct_values", F.lit(None).cast("array<string>"))
-    pairs = df.select(F.inline(F.array(*(F.struct(F.lit(n).alias("field"), column(df, n).cast("string").alias("v")) for n in plain)))).distinct()
-    few = stats.filter("not distinct_overflow").select("field")
-    values = pairs.join(F.broadcast(few), "field").groupBy("field").agg(F.sort_array(F.collect_list("v")).alias("distinct_values"))
-    return stats.join(F.broadcast(values), "field", "left").withColumn("distinct_values", F.when(~F.col("distinct_overflow"), F.coalesce("distinct_values", F.array().cast("array<string>"))))
+    numbers = F.create_map(*(x for i, n in plain for x in (F.lit(n), F.lit(i))))
+    few = stats.filter("not distinct_overflow").select(numbers[F.col("field")].alias("at")).filter("at is not null")
+    values = _values(df, few).groupBy("at").agg(F.sort_array(F.collect_list("v")).alias("distinct_values"))
+    joined = stats.join(F.broadcast(values), numbers[F.col("field")] == F.col("at"), "left").drop("at")
+    return joined.withColumn("distinct_values", F.when(~F.col("distinct_overflow"), F.coalesce("distinct_values", F.array().cast("array<string>"))))
 
 
 # Probes. Each gives aggregate columns of one field; ``probe`` runs several over several fields in one pass.
@@ -111,6 +141,10 @@ class Probe:
     def columns(self, c: Column, kind: T.DataType) -> dict[str, Column]:
         raise NotImplementedError
 
+    def tables(self, df: DataFrame, name: str) -> dict[str, DataFrame]:
+        """Results that are no aggregates of the same pass: tables of one row and one column."""
+        return {}
+
 
 class MissingValuesProbe(Probe):
     name = "missing_values"
@@ -140,7 +174,11 @@ class StatisticsProbe(Probe):
 
 
 class DistinctProbe(Probe):
-    """The values, null left out, and whether there are more than the threshold; with one, at most so many are kept."""
+    """The values, null left out, and whether there are more than the threshold; with one, the least so many are kept.
+
+    With a threshold the values are the first ones of an order over the distinct ones, of which each task keeps so many; without
+    one all are gathered, as asked.
+    """
 
     name = "distinct"
 
@@ -149,10 +187,15 @@ class DistinctProbe(Probe):
 
     def columns(self, c, kind):
         n = F.count_distinct(c)
-        values = F.sort_array(F.collect_set(c))
         if not self.threshold:
-            return {"values": values, "overflow": F.lit(False), "count": n}
-        return {"values": F.slice(values, 1, self.threshold), "overflow": n > self.threshold, "count": n}
+            return {"values": F.sort_array(F.collect_set(c)), "overflow": F.lit(False), "count": n}
+        return {"overflow": n > self.threshold, "count": n}
+
+    def tables(self, df, name):
+        if not self.threshold:
+            return {}
+        least = df.select(column(df, name).alias("v")).filter("v is not null").distinct().orderBy("v").limit(self.threshold)
+        return {"values": least.agg(F.sort_array(F.collect_list("v")))}
 
 
 class StorageTypeProbe(Probe):
@@ -187,13 +230,21 @@ class MultiProbe(Probe):
     def columns(self, c, kind):
         return {f"{p.name}_{k}": v for p in self.probes for k, v in p.columns(c, kind).items()}
 
+    def tables(self, df, name):
+        return {f"{p.name}_{k}": v for p in self.probes for k, v in p.tables(df, name).items()}
+
 
 ProbeSet = MultiProbe
 
 
 def probe(df: DataFrame, probes: Iterable[Probe], fields: Iterable | None = None) -> DataFrame:
-    """One row: for each field and probe, columns <field>_<probe>_<result>, all from one pass."""
+    """One row: for each field and probe, columns <field>_<probe>_<result>, all but values up to a threshold from one pass."""
     require_batch(df, "probing")
     names = require(df, fields) if fields is not None else df.columns
     found = MultiProbe(*probes)
-    return df.agg(*(v.alias(f"{n}_{k}") for n in names for k, v in found.columns(column(df, n), df.schema[n].dataType).items()))
+    out = df.agg(*(v.alias(f"{n}_{k}") for n in names for k, v in found.columns(column(df, n), df.schema[n].dataType).items()))
+    for n in names:
+        for k, made in found.tables(df, n).items():
+            # One row each.
+            out = out.crossJoin(F.broadcast(made.toDF(f"{n}_{k}")))
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from millrace.errors import FieldError, StreamError
 from millrace.functions.expressions import translate
+from millrace.operators import order
 from millrace.operators.fields import call
 from millrace.schema import FieldMap, column, require
 from millrace.streaming.limits import require_batch
@@ -95,23 +96,18 @@ def sample(
 def _numbered(df: DataFrame, keys: Sequence[Column], taken: Callable[[Column], Column], rest: bool) -> DataFrame:
     """Records whose place in an order is taken, or the others, without bringing all into one task.
 
-    Records are sorted by range into partitions; a record's place is its partition's start, summed from the counts of the
-    partitions before (a row for each), and its number inside.
+    The sorted rows are a stored table, written here.
     """
-    # Both branches below read the same sorted rows, so these are kept until the result is made.
-    at = df.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).persist()
-    counts = at.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.col("_start") + (F.col("_at") - F.shiftleft(F.col("_part"), 33)) + 1
-    kept = taken(place)
-    return at.join(F.broadcast(starts), "_part").filter(~kept if rest else kept).drop("_at", "_part", "_start")
+    at = order.numbered(df, keys)
+    kept = taken(F.col(order.PLACE))
+    return at.filter(~kept if rest else kept).drop(order.PLACE, order.TOTAL)
 
 
 def distinct(df: DataFrame, distinct_fields: Iterable | None = None, discard: bool = False, order_by: Iterable | None = None) -> DataFrame:
     """The first record of each key in an order, or with ``discard`` all but the first. Without keys records pass through.
 
-    The limit on the first row of a key runs before the exchange as well, so that a hot key is one row per task.
+    Without an order the first is any one of its key. The limit on the first row of a key runs before the exchange as well,
+    so that a hot key is one row per task; for the others of a key all records are sorted by range, which splits a hot one.
     """
     names = require(df, distinct_fields or ())
     if not names:
@@ -119,9 +115,37 @@ def distinct(df: DataFrame, distinct_fields: Iterable | None = None, discard: bo
     if not discard and not order_by:
         return df.dropDuplicates(names)
     require_batch(df, "distinct records in an order")
-    place = F.row_number().over(Window.partitionBy(*(column(df, n) for n in names)).orderBy(*_ordered(df, order_by)))
-    numbered = df.withColumn("_place", place)
-    return numbered.filter("_place > 1" if discard else "_place = 1").drop("_place")
+    keys = [column(df, n) for n in names]
+    if discard:
+        return order.firsts_marked(df, keys, _ordered(df, order_by), "_is_first").filter("not _is_first").drop("_is_first")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*_ordered(df, order_by)))
+    return df.withColumn("_place", place).filter("_place = 1").drop("_place")
+
+
+def sort(df: DataFrame, order_by: Iterable, descending: bool | Sequence[bool] = False, limit: int | None = None) -> DataFrame:
+    """Records in an order, or the first ``limit`` of it; a field in falling order where ``descending`` says so. An extension."""
+    require_batch(df, "sorting")
+    names = list(order_by)
+    falling = [descending] * len(names) if isinstance(descending, bool) else list(descending)
+    if len(falling) != len(names):
+        raise FieldError("descending has a flag for each field, or one for all")
+    keys = [c.desc() if d else c for c, d in zip(_ordered(df, names), falling)]
+    ordered = df.orderBy(*keys)
+    return ordered if limit is None else ordered.limit(int(limit))
+
+
+def intersect(*inputs: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Records of the first input that are in all others, each once, or as often as in all of them. An extension."""
+    if not inputs:
+        raise StreamError("intersect needs an input")
+    return reduce(DataFrame.intersectAll if keep_all else DataFrame.intersect, inputs)
+
+
+def subtract(*inputs: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Records of the first input that are in no other, each once, or as often as they are left over. An extension."""
+    if not inputs:
+        raise StreamError("except needs an input")
+    return reduce(DataFrame.exceptAll if keep_all else DataFrame.subtract, inputs)
 
 
 def append(*inputs: DataFrame) -> DataFrame:

@@ -50,6 +50,14 @@ class Fork:
     def append_by_name(self, *forks: Fork, **kwargs: Any) -> Fork:
         return self._joined("append_by_name", forks, kwargs)
 
+    def intersect(self, *forks: Fork, **kwargs: Any) -> Fork:
+        """Records of this fork that are in all others."""
+        return self._joined("intersect", forks, kwargs)
+
+    def subtract(self, *forks: Fork, **kwargs: Any) -> Fork:
+        """Records of this fork that are in no other."""
+        return self._joined("except", forks, kwargs)
+
     def merge(self, *forks: Fork, **kwargs: Any) -> Fork:
         """This fork as the master, joined with others as details."""
         return self._joined("merge", forks, kwargs)

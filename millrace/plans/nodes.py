@@ -316,8 +316,8 @@ _step(
 _step(
     "binning",
     "Append a bin.",
-    lambda n, df: field_operators.binning(df, n.field, n.method, n.size, n.derived_field),
-    {"field": "its name", "method": "width, count, ntile, ntile_sum or rank", "size": "width or number", "derived_field": "name of the new field"},
+    lambda n, df: field_operators.binning(df, n.field, n.method, n.size, n.derived_field, n.partition_by or ()),
+    {"field": "its name", "method": "width, count, ntile, ntile_sum or rank", "size": "width or number", "derived_field": "name of the new field", "partition_by": "fields in whose groups ntile, ntile_sum and rank count"},
     {"method": "width", "size": 1},
 )
 
@@ -362,6 +362,15 @@ _step(
     {"discard": False},
     order=["distinct_fields", "discard"],
 )
+_step(
+    "sort",
+    "Records in an order, or the first of it.",
+    lambda n, df: records.sort(df, n.order_by or (), n.descending, n.limit),
+    {"order_by": "fields", "descending": "whether the order falls, for all fields or each", "limit": "records to keep"},
+    {"order_by": [], "descending": False},
+)
+_step("intersect", "Records that are in all inputs.", lambda n, *inputs: records.intersect(*inputs, keep_all=n.keep_all), {"keep_all": "whether repeated records stay"}, {"keep_all": False}, arity=(1, None))
+_step("except", "Records of the first input that are in no other.", lambda n, *inputs: records.subtract(*inputs, keep_all=n.keep_all), {"keep_all": "whether repeated records stay"}, {"keep_all": False}, arity=(1, None))
 _step("append", "All records of all inputs.", lambda n, *inputs: records.append(*inputs), {}, arity=(1, None))
 _step(
     "append_by_name",

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from millrace.schema import FieldList, coalesce_value
+from millrace.session import shared_dir
 from millrace.sources.base import Source, needs_fields
 
 
-def _made(spark: SparkSession, rows: list, fields: FieldList) -> DataFrame:
-    """Fields of unknown type take the type of their values, which must then agree."""
-    schema = fields.spark()
-    for i, f in enumerate(fields):
+def _made(spark: SparkSession, rows: list, fields: FieldList, schema: T.StructType | None = None) -> DataFrame:
+    """Fields of unknown type take the type of their values, which must then agree, unless a schema is given."""
+    known, schema = schema is not None, schema or fields.spark()
+    for i, f in enumerate(fields if not known else ()):
         if f.storage_type == "unknown" and f.concrete_storage_type is None:
             kinds = {type(r[i]) for r in rows if r[i] is not None}
             storage = {bool: "boolean", int: "integer", float: "float"}.get(next(iter(kinds))) if len(kinds) == 1 else "float" if kinds == {int, float} else None
@@ -60,11 +64,29 @@ class RecordListSource(Source):
         return _made(spark, [tuple(r.get(n) for n in fields.names()) for r in records], fields)
 
 
+#: Rows of a generator that the driver holds at once.
+BLOCK = 20_000
+
+
 class GeneratorSource(Source):
-    """Rows that a generator function yields, called once on the driver for each read."""
+    """Rows that a generator function yields, called once on the driver for each read.
+
+    Up to ``BLOCK`` rows are a table in memory. More are written, block by block, to the shared folder; fields of unknown type
+    then take the type of the first block's values.
+    """
 
     def __init__(self, function: Callable, fields=None, *args, **kwargs):
         self.function, self.fields, self.args, self.kwargs = function, fields, list(args), dict(kwargs)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return _made(spark, [tuple(r) for r in self.function(*self.args, **self.kwargs)], needs_fields(self.fields))
+        fields, rows = needs_fields(self.fields), iter(self.function(*self.args, **self.kwargs))
+        first = _made(spark, [tuple(r) for r in islice(rows, BLOCK)], fields)
+        following = list(map(tuple, islice(rows, BLOCK)))
+        if not following:
+            return first
+        path = f"{shared_dir(spark)}/generated-{uuid.uuid4().hex}"
+        first.write.parquet(path)
+        while following:
+            _made(spark, following, fields, first.schema).write.mode("append").parquet(path)
+            following = list(map(tuple, islice(rows, BLOCK)))
+        return spark.read.schema(first.schema).parquet(path)
