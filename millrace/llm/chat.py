@@ -1,8 +1,8 @@
 """Chat formatting by quotation linking: quotes are parsed, hashed, joined to what they quote, and taken out.
 
 A line's quote level is the number of ">" that it begins with. Runs of lines of one level are passages; level 0 is the
-message's own text, less attribution lines ("On ... wrote:") right before a quote. Passages and their lines are normalised
-(A-Z lower-cased, white space as one space) and hashed, and so are the own text, paragraphs and lines of all messages.
+message's own text, less attribution lines ("On ... wrote:") right before a quote. Passages, their paragraphs and lines are
+normalised (A-Z lower-cased, white space as one space) and hashed, and so are the own text, paragraphs and lines of messages.
 A quote is linked to the latest earlier message of its conversation that has the same unit. The parent of a message is the
 one that its longest linked unit of level 1 comes from, else the message before it; so parents precede their replies, and
 the order of turns is a reply order, in which ``position`` numbers each conversation.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 RANGE = 256
 _QUOTE = r"^[ \t]*((?:>[ \t]?)+)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Between paragraphs.
+_BLANK = r"\n[ \t]*\n"
 _SPACE = r"[ \t\n\r\x0B\f]+"
 
 
@@ -103,9 +105,9 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     # Units as they were written, and as they are quoted.
     content = lines.withColumn("content", own_text(F.col("lines")))
-    paragraphs = F.split("content", r"\n[ \t]*\n")
+    paragraphs = F.split("content", _BLANK)
     asking = lines.filter(F.col("text").rlike(r"(?:^|\n)[ \t]*>")).select("conv_id", "turn", "mid", F.posexplode(passages(F.col("lines"))).alias("passage", "p"))
-    quoted = asking.select("conv_id", "turn", "mid", "passage", F.col("p.level").alias("level"), F.explode(_units(F.array("p.text"), F.split("p.text", "\n"))).alias("unit"))
+    quoted = asking.select("conv_id", "turn", "mid", "passage", F.col("p.level").alias("level"), F.explode(_units(F.array("p.text"), F.split("p.text", _BLANK), F.split("p.text", "\n"))).alias("unit"))
     asked = quoted.select("conv_id", F.xxhash64("unit").alias("h"), "turn", "mid", "passage", "level", F.length("unit").alias("size"))
     written = content.select("conv_id", "turn", F.explode(_units(F.array("content"), paragraphs, F.split("content", "\n"))).alias("unit")).select("conv_id", F.xxhash64("unit").alias("h"), "turn")
     wanted = asked.select("conv_id", "h").distinct()
@@ -187,7 +189,7 @@ base AS (
     SELECT m, conv_id, turn, run, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS p FROM runs WHERE level > 0 GROUP BY m, conv_id, turn, run
 ), asked AS (
     SELECT DISTINCT m, conv_id, turn, run, level, trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r\x0B\f]+', ' ', 'g')) AS unit
-    FROM (SELECT *, unnest(list_concat([p], string_split(p, chr(10)))) AS u FROM passages)
+    FROM (SELECT *, unnest(list_concat(list_concat([p], string_split(p, chr(10))), regexp_split_to_array(p, '\n[ \t]*\n'))) AS u FROM passages)
 ), found AS (
     SELECT a.m, a.run, a.level, len(a.unit) AS size, max(w.turn) AS origin
     FROM asked a JOIN written w ON w.conv_id = a.conv_id AND w.unit = a.unit AND w.turn < a.turn WHERE a.unit <> '' GROUP BY ALL

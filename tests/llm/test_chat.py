@@ -57,3 +57,17 @@ def test_nothing_and_format(spark):
     assert chat.link(frame(spark, [], KIND)).count() == 0
     row = chat.formatted(chat.link(frame(spark, ROWS[:1], KIND))).first()
     assert row.chat.startswith("<|user|>\nHello there.")
+
+
+def test_a_quote_of_wrapped_paragraphs_is_linked(spark):
+    text = "one paragraph\n\nthe second one is long enough to wrap\n\nand a third one, too"
+    rows = [(1, 0, "a", text), (1, 1, "b", "other"), (1, 2, "c", "> the second one is long\n> enough to wrap\n>\n> and a\n> third one, too\nyes")]
+    out = chat.link(frame(spark, rows, KIND))
+    assert {r.turn: r.parent_turn for r in out.collect()} == {0: None, 1: 0, 2: 0}
+    assert sorted(repr(tuple(r)) for r in out.collect()) == by_sql(rows)[1]
+
+
+def test_very_long_messages_and_repeated_rows_equal_sql(spark):
+    long = "\n".join(f"line {i} of a long message" for i in range(5_000))
+    rows = [(1, 0, "a", long), (1, 0, "a", long), (1, 1, "b", "> line 4999 of a long message\nyes"), (1, 2, "c", "\n".join(f"> {x}" for x in long.split("\n")) + "\nno")]
+    assert sorted(repr(tuple(r)) for r in chat.link(frame(spark, rows, KIND)).collect()) == by_sql(rows)[1]
