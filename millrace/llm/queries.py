@@ -113,6 +113,48 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+@query
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2_licenses SQL can express: the base phrases."""
+    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+ORACLE["licenses_base"] = rf"""
+WITH d AS (
+    SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_ALNUM}'), []) AS w FROM documents
+), p AS (
+    SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS mit,
+        list_filter(range(1, len(w) + 1), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS apache,
+        list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS gpl FROM d
+), a AS (
+    SELECT *, list_concat(list_concat(mit, apache), gpl) AS found FROM p
+)
+SELECT doc_id, len(w) AS n_words, len(found) AS n_base, list_min(found) - 1 AS first_word, list_max(found) - 1 AS last_word,
+    concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+FROM a
+"""
+
+
+@query
+def secrets_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op4_secrets SQL can express: how many base spans there are."""
+    return secrets.report(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+_EITHER = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+
+ORACLE["secrets_counts"] = rf"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t FROM documents
+)
+SELECT doc_id,
+    len(list_filter(regexp_extract_all(t, '(?:{_EITHER})["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: len(x) >= 8)) AS n_assign,
+    len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 16)) AS n_access,
+    len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: len(x) >= 32)) AS n_hex
+FROM d
+"""
+
+
 @query
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"))

@@ -1,18 +1,22 @@
 """Queries over small tables: those with SQL equal it, and all return a row per document."""
 
 import os
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
+from millrace.llm import packing, secrets
 from millrace.llm.queries import ORACLE, QUERIES
+from tests.llm.test_licenses import brute
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 
 
 def test_there_is_one_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -32,3 +36,58 @@ def test_sql(spark, name):
 def test_a_row_per_document(spark, name):
     rows = [r.doc_id for r in QUERIES[name](spark, DATA).select("doc_id").collect()]
     assert sorted(rows) == sorted(r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect())
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+
+
+def test_licenses_equal_plain_phrases(spark, documents):
+    out = {r.doc_id: r for r in QUERIES["op2_licenses"](spark, DATA).collect()}
+    for i, text in documents:
+        r = out[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(text)
+
+
+def test_shards_are_nearly_equal_and_places_are_gapless(spark, documents):
+    out = QUERIES["op3_sharding"](spark, DATA).collect()
+    assert {(r.doc_id, r.size, r.text_crc32) for r in out} == {(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in documents}
+    places, sizes = {}, {}
+    for r in out:
+        places.setdefault(r.shard, []).append(r.slot)
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+    assert max(sizes.values()) - min(sizes.values()) <= max(r.size for r in out)
+
+
+def test_secrets_equal_plain_expressions(spark, documents):
+    out = {r.doc_id: r for r in QUERIES["op4_secrets"](spark, DATA).collect()}
+    for i, text in documents:
+        r = out[i]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == secrets.brute_force(text)
+
+
+def test_quality_ranks_labels_that_it_has_not_seen(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    held = [(r.score, labels[r.doc_id]) for r in QUERIES["op6_quality"](spark, DATA).collect() if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, y in held if y], [s for s, y in held if not y]
+    if good and bad:
+        assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad)) >= 0.9
+
+
+def test_packing_holds_the_ids_of_all_documents(spark, documents):
+    tokenizers = pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
+    plain = tokenizers.Tokenizer.from_file(packing.tokenizer_path())
+    own = {}
+    for r in QUERIES["op9_packing"](spark, DATA).collect():
+        own.setdefault(r.doc_id, []).append(r)
+    for i, text in documents:
+        # No text of these tables holds the string of a special token, so that plain calls give the same ids.
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, packing.END], "<u4")
+        at = 0
+        for r in sorted(own[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
