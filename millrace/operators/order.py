@@ -9,14 +9,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from millrace.session import shared_dir
 
 #: Columns that these functions add, and their callers drop.
 PART, INDEX, PLACE, TOTAL = "_part", "_index", "_place", "_total"
-_BEFORE = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _before() -> WindowSpec:
+    """The partitions before, over tables of a row per partition."""
+    return Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def sorted_rows(df: DataFrame, keys: Sequence[Column], **columns: Column) -> DataFrame:
@@ -34,7 +38,7 @@ def numbered(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
     """``df`` with each record's place from 1, and the number of all."""
     at = sorted_rows(df, keys)
     counts = at.groupBy(PART).agg(F.max(INDEX).alias("_n"))
-    counts = counts.select(PART, (F.coalesce(F.sum(F.col("_n") + 1).over(_BEFORE), F.lit(0)) + 1).alias("_start"), F.sum(F.col("_n") + 1).over(Window.partitionBy(F.lit(0))).alias(TOTAL))
+    counts = counts.select(PART, (F.coalesce(F.sum(F.col("_n") + 1).over(_before()), F.lit(0)) + 1).alias("_start"), F.sum(F.col("_n") + 1).over(Window.partitionBy(F.lit(0))).alias(TOTAL))
     return at.join(F.broadcast(counts), PART).withColumn(PLACE, F.col("_start") + F.col(INDEX)).drop(PART, INDEX, "_start")
 
 
@@ -42,7 +46,7 @@ def ranked(df: DataFrame, value: Column, name: str) -> DataFrame:
     """``df`` with each record's rank by falling value: equal values, which a partition by range holds together, have the
     place of their first."""
     at = sorted_rows(df, [F.col("_value").desc()], _value=value)
-    starts = at.groupBy(PART).agg((F.max(INDEX) + 1).alias("_n")).select(F.col(PART).alias("_p"), F.coalesce(F.sum("_n").over(_BEFORE), F.lit(0)).alias("_start"))
+    starts = at.groupBy(PART).agg((F.max(INDEX) + 1).alias("_n")).select(F.col(PART).alias("_p"), F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_start"))
     firsts = at.groupBy("_value").agg(F.min(PART).alias("_p"), F.min(INDEX).alias("_first")).join(F.broadcast(starts), "_p")
     firsts = firsts.select(F.col("_value").alias("_v"), (F.col("_start") + F.col("_first") + 1).cast("int").alias(name))
     return at.join(firsts, F.col("_value").eqNullSafe(F.col("_v"))).drop("_value", "_v", PART, INDEX)
@@ -52,7 +56,7 @@ def running(df: DataFrame, keys: Sequence[Column], value: Column, so_far: str, t
     """``df`` with the sum of ``value`` up to each record in the order, and that of all."""
     at = sorted_rows(df, keys, _value=value)
     sums = at.groupBy(PART).agg(F.sum("_value").alias("_n"))
-    sums = sums.select(PART, F.coalesce(F.sum("_n").over(_BEFORE), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(total))
+    sums = sums.select(PART, F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(total))
     inside = F.sum("_value").over(Window.partitionBy(PART).orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0))
     out = at.withColumn("_inside", inside).join(F.broadcast(sums), PART)
     return out.withColumn(so_far, F.when(F.col("_inside").isNotNull() | (F.col("_start") != 0), F.col("_start") + F.coalesce("_inside", F.lit(0)))).drop(PART, INDEX, "_value", "_inside", "_start")

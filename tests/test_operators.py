@@ -222,3 +222,54 @@ def test_statistics_and_probes(spark):
     half = spark.createDataFrame([(2.0,), (None,)], "v double")
     assert quality.probe(half, [quality.StatisticsProbe(compat=True)]).first().v_statistics_average == 1.0
     assert quality.probe(df, [quality.ValueTypeProbe()], ["type"]).first().type_value_type_integer == 0
+
+
+def test_places_over_a_whole_table(spark):
+    rows = [(i, None if i % 50 == 0 else i % 7, float(i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "i bigint, v bigint, x double").repartition(5)
+    order = F.expr("v")
+    want = {r.i: (r.rank, r.tile) for r in df.selectExpr("i", "rank() over (order by v desc) rank", "ntile(9) over (order by i) tile").collect()}
+    ranks = {r.i: r.place for r in fo.binning(df, "v", "rank", derived_field="place").collect()}
+    tiles = {r.i: r.tile for r in fo.binning(df, "i", "ntile", 9, "tile").collect()}
+    assert {i: (ranks[i], tiles[i]) for i in ranks} == want and len(ranks) == 200 and order is not None
+    sums = {r.i: r.bin for r in fo.binning(df, "i", "ntile_sum", 4, "bin").collect()}
+    total_ = sum(range(200))
+    assert sums == {i: min(4, -(-4 * sum(range(i + 1)) // total_)) for i in range(200)}
+    few = fo.binning(df.limit(3), "i", "ntile", 9, "tile")
+    assert sorted(r.tile for r in few.collect()) == [1, 2, 3] and fo.binning(df.limit(0), "i", "ntile", 9).count() == 0
+
+
+def test_all_but_the_first_of_a_hot_key(spark):
+    df = spark.createDataFrame([(i, None if i % 100 == 0 else "hot" if i % 3 else f"k{i % 9}") for i in range(500)], "i bigint, k string").repartition(6)
+    rest = {r.i for r in records.distinct(df, ["k"], discard=True, order_by=["i"]).collect()}
+    firsts = {r.i for r in records.distinct(df, ["k"], order_by=["i"]).collect()}
+    assert rest | firsts == set(range(500)) and not rest & firsts and len(firsts) == df.select("k").distinct().count()
+    assert records.distinct(df.limit(0), ["k"], discard=True).count() == 0
+
+
+def test_sort_intersect_and_except(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (None, None)], "i int, s string")
+    b = spark.createDataFrame([(1, "x"), (None, None), (3, "z")], "j int, t string")
+    assert [r.i for r in records.sort(a, ["i"], descending=True, limit=2).collect()] == [2, 1]
+    assert sorted(map(tuple, records.intersect(a, b).collect()), key=str) == sorted([(1, "x"), (None, None)], key=str)
+    assert [tuple(r) for r in records.subtract(a, b).collect()] == [(2, "y")] and records.subtract(a, b, keep_all=True).count() == 2
+    with pytest.raises(FieldError):
+        records.sort(a, ["i"], descending=[True, False])
+
+
+def test_audits_count_small_fields_only_and_exactly(spark):
+    rows = [(i, i % 5, None if i % 4 == 0 else f"v{i % 9}", (-0.0 if i % 2 else 0.0), [i % 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "wide int, few int, text string, zero double, list array<int>")
+    counts = {r.field_name: r.distinct_count for r in quality.audit(df, 10).collect()}
+    assert counts == {"wide": None, "few": 5, "text": None, "zero": 1, "list": 3}
+    assert {r.field_name: r.distinct_count for r in quality.audit(df, 11).collect()}["text"] == 10
+    assert {r.field_name: r.distinct_count for r in quality.audit(df, None).collect()} == {"wide": 400, "few": 5, "text": 10, "zero": 1, "list": 3}
+    assert {r.field_name: r.distinct_count for r in quality.audit(df.limit(0), 10).collect()} == dict.fromkeys(df.columns, 0)
+    found = quality.probe(df, [quality.DistinctProbe(3), quality.MissingValuesProbe()], ["few", "text"]).first()
+    assert found.few_distinct_values == [0, 1, 2] and found.few_distinct_overflow and found.few_distinct_count == 5 and found.text_missing_values_count == 100
+
+
+def test_callables_see_bugs_of_their_own(spark):
+    df = spark.createDataFrame([(1,)], "i int")
+    with pytest.raises(NameError):
+        fo.derive(df, lambda i: undefined_name + i, "x", storage_type="integer")  # noqa: F821
