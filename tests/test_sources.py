@@ -1,4 +1,5 @@
 import io
+import uuid
 
 import pytest
 
@@ -154,3 +155,21 @@ def test_missing_services(spark):
         ScraperWikiSource("x").read(spark)
     with pytest.raises(ConnectorUnavailable):
         MongoSource("c", "d").read(spark)
+
+
+def test_jdbc_tables(spark):
+    """Over the database that comes with Spark, in this process' memory."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    df = spark.createDataFrame([(1, "a", 0.5), (2, None, 1.5), (3, "c", None)], "k int, name string, x double")
+    with pytest.raises(StreamError):
+        SQLTarget(url, "things").write(df)
+    SQLTarget(url, "things", create=True).write(df)
+    with pytest.raises(ValueError):
+        SQLTarget(url, "things", create=True).write(df)
+    SQLTarget(url, "things").write(df.filter("k = 1"))
+    rows = lambda **given: sorted((r[0], r[1]) for r in SQLSource(url, **given).read(spark).select("K", "NAME").collect())
+    assert rows(table="things") == [(1, "a"), (1, "a"), (2, None), (3, "c")]
+    assert rows(statement='select "k" as k, "name" as name from things where "k" > 2') == [(3, "c")]
+    assert rows(table="things", partitioning=("k", 1, 3, 2)) == [(1, "a"), (1, "a"), (2, None), (3, "c")]
+    SQLTarget(url, "things", truncate=True, add_id_key=False).write(df.filter("k = 2"))
+    assert rows(table="things") == [(2, None)]
