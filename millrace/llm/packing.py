@@ -420,7 +420,7 @@ def _dealt(tokens: DataFrame, corpus: Corpus, shard_tokens: int) -> tuple[DataFr
     if len(corpus.idf) > _SHARED:
         raise ValueError(f"token ids must be below {_SHARED}")
     sent = tokens.sparkSession.sparkContext.broadcast(corpus)
-    schema = T.StructType([tokens.schema["doc_id"], *T.StructType.fromDDL("ids binary, t1 bigint, t2 bigint")])
+    schema = T.StructType([tokens.schema["doc_id"], *T.StructType.fromDDL("ids binary, number bigint, t1 bigint, t2 bigint")])
     arrow = arrow_schema(schema)
 
     def run(batches):
@@ -429,7 +429,8 @@ def _dealt(tokens: DataFrame, corpus: Corpus, shard_tokens: int) -> tuple[DataFr
                 t1, t2 = sent.value.strongest(*_unpacked(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, pa.array(t1), pa.array(t2)], arrow)], schema=arrow)
 
-    led = tokens.mapInArrow(task("packing", run), schema)
+    # Rows of one token pair are dealt by number. Tokens are a stored table, so that a row keeps its number.
+    led = tokens.withColumn("number", F.monotonically_increasing_id()).mapInArrow(task("packing", run), schema)
     size = F.octet_length("ids") / 4 + 16
     pairs = stored(led.groupBy("t1", "t2").agg(F.sum(size).alias("size")), "pairs")
     # A row per token at most: large ones get parts of their own, the others share shards in their order.
@@ -445,8 +446,7 @@ def _dealt(tokens: DataFrame, corpus: Corpus, shard_tokens: int) -> tuple[DataFr
     count = firsts.agg(F.sum(F.when(F.col("parts") > 1, F.col("parts")).otherwise(0)), F.count_distinct("place")).first()
     extra = heavy.agg(F.sum("pieces")).first()[0] or 0
     placed = led.join(F.broadcast(firsts), "t1").withColumn("part", part).join(heavy, ["t1", "part"], "left")
-    # Rows of one token pair are dealt by number; the table of tokens is stored, so that a row keeps its number.
-    piece = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("pieces")), F.lit(0))
+    piece = F.coalesce(F.pmod(F.xxhash64("number"), F.col("pieces")), F.lit(0))
     shard = F.shiftleft("place", _PART_BITS) + F.when(piece > 0, F.col("after") + piece - 1).otherwise(F.col("part"))
     return placed.select("doc_id", "ids", shard.alias("shard")), int((count[0] or 0) + (count[1] or 0) + extra)
 
