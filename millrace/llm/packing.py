@@ -2,7 +2,7 @@
 
 1. Texts are tokenised once into a table of ids. Document frequencies of all tokens and the mean length are counted over
    the whole corpus; a row per token of the vocabulary, which bounds what is sent to the executors.
-2. Documents are dealt by content: by their strongest token (the highest BM25 weight under those counts), so that a
+2. Documents are dealt by content: by their strongest token (the highest log frequency times idf under those counts), so that a
    document's neighbours are where it is. Tokens that lead few documents share a shard; one that leads more than a shard
    holds is split by the documents' second strongest token, and what is still too large, such as a group of copies, by
    number. So shards hold about ``SHARD_TOKENS`` each, whatever the corpus' size or skew, and what meets in one does not
@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, keeps, serve, stored, task
-from millrace.session import ship_package
+from millrace.llm._work import arrow_schema, bounded_batches, keeps, serve, stored, task
 
 LENGTH = 4096
 END = 2
@@ -247,9 +246,10 @@ class Corpus:
         return cls(len(offsets) - 1, len(ids), np.bincount(terms, minlength=1))
 
     def strongest(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The two terms of each document that weigh most in it, the smaller first in a tie; one twice if it is the only one."""
+        """The two terms of each document of the highest logarithm of the frequency times idf, the smaller first in a tie; one
+        twice if it is the only one. What a document repeats says more of its neighbours than its rarest word."""
         documents, terms, tf = counted(ids, offsets)
-        order = np.lexsort((terms, -self.idf[terms] * (tf / (tf + K1)), documents))
+        order = np.lexsort((terms, -self.idf[terms] * np.log1p(tf), documents))
         documents, terms = documents[order], terms[order]
         at = np.searchsorted(documents, np.arange(len(offsets) - 1))
         last = np.searchsorted(documents, np.arange(len(offsets) - 1), side="right") - 1
@@ -466,7 +466,7 @@ def pack(
     ``path`` is the tokenizer's file as executors see it; by default each takes its own installed copy. ``terms`` bounds the
     terms of a seed that are looked up; None looks up all.
     """
-    ship_package(documents.sparkSession)
+    bounded_batches(documents.sparkSession)
     slim = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     tokens = stored(_tokens(slim, path), "tokens")
     corpus = _corpus(tokens)
