@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._work import stored
+from millrace.llm._work import discard, stored
 
 #: About the square of the logarithm of the longest path is needed; more is an error, never a partial result.
 ROUNDS = 200
@@ -35,14 +35,15 @@ def _small(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node that a link touches; the component is its smallest node. Links may repeat.
+    """(node, component) of every node that a link touches, a stored table; the component is its smallest node. Links may repeat.
 
     Links from a node to itself, or with a null end, count for nothing; no links give no rows.
     """
     current = stored(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a != b").distinct(), "links")
     state = _state(current)
     for _ in range(ROUNDS if state[0] else 0):
-        current = stored(_small(_large(current)).distinct(), "links")
+        last, current = current, stored(_small(_large(current)).distinct(), "links")
+        discard(last)
         before, state = state, _state(current)
         if state == before:
             break
@@ -50,4 +51,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state[0]:
             raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
+    found = stored(current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots), "components")
+    discard(current)
+    return found

@@ -16,8 +16,9 @@ emit all pairs of a bucket.
 Bands are chosen so that a pair at the threshold is missed with a chance of about ``MISS``.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of fewer
-words than a shingle is one shingle; equal ids are one node; a row with a null id is linked with nothing and kept; an
-empty table gives no rows; other columns are kept by ``deduplicate``.
+words than a shingle is one shingle; equal ids are one node, and of rows with equal ids and texts ``deduplicate`` keeps one;
+a row with a null id is linked with nothing and kept; an empty table gives no rows; other columns are kept by
+``deduplicate``.
 """
 
 from __future__ import annotations
@@ -30,9 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import aside, serve, stored, task
+from millrace.llm._work import among, aside, bounded_batches, discard, serve, stored, task
 from millrace.llm.components import components
-from millrace.session import ship_package
 
 BITS = 4
 ROWS = 5
@@ -245,7 +245,7 @@ def near_duplicates(
     table: np.ndarray = text.NONSPACE,
 ) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the smallest id reachable over links), kept."""
-    ship_package(documents.sparkSession)
+    bounded_batches(documents.sparkSession)
     minima = Minima(bands_for(percent / 100, rows), rows)
     slim = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = stored(_signed(slim, minima, shingle, table, False), "signed")
@@ -261,8 +261,10 @@ def near_duplicates(
     each = reps.distinct()
     sizes = each.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("members")).filter("members > 1")
     buckets = stored(each.join(sizes, "band").select("band", "id", "n", "lead", "members"), "buckets")
-    needed = buckets.select("id").distinct()
-    sets = stored(_signed(slim.join(needed, "id", "left_semi"), minima, shingle, table, True).dropDuplicates(["id", "n"]), "sets")
+    # A table, so that its size is known before the texts move.
+    stored_needed = stored(buckets.select("id").distinct(), "needed")
+    some_texts = among(slim, "id", stored_needed).filter("_maybe").drop("_maybe")
+    sets = stored(_signed(some_texts.join(stored_needed, "id", "left_semi"), minima, shingle, table, True).dropDuplicates(["id", "n"]), "sets")
 
     # Step 1: stars.
     size = sets.groupBy("id").agg(F.min("n").alias("lead_n"))
@@ -271,7 +273,6 @@ def near_duplicates(
     left = sets.select(F.col("id").alias("a"), F.col("signature").alias("s"), F.col("hashes").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("signature").alias("t"), F.col("hashes").alias("y"))
     first = components(_confirmed(stars.join(left, "a").join(right, "b"), minima.k, percent).unionAll(members.select(F.col("id").alias("a"), F.col("rep").alias("b"))))
-    first = stored(first, "components")
 
     # Step 2: buckets that still hold several components.
     placed = buckets.filter("members > 2").select("band", "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
@@ -289,14 +290,27 @@ def near_duplicates(
     late = second.select(F.col("node").alias("id"), "component").join(first.select(F.col("node").alias("id")), "id", "left_anti")
     result = signed.select("id", "n").join(final.unionAll(late), "id", "left")
     component = F.coalesce("component", "id")
-    return result.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    result = result.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    result = stored(result, "classes")
+    discard(signed, leads, members, buckets, stored_needed, sets, first, open_, second)
+    return result
 
 
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``documents`` less those that are linked with one of a smaller id, directly or over others."""
-    dropped = near_duplicates(documents, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    placed, (id_at,), _ = aside(documents, id_col)
-    return placed.join(dropped, F.col(id_at) == F.col("_gone"), "left_anti").toDF(*documents.columns)
+    """``documents`` less those that are linked with one of a smaller id, directly or over others; of rows with equal ids and
+    texts one stays."""
+    found = near_duplicates(documents, id_col, text_col, **options)
+    dropped = stored(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    repeated = stored(found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    discard(found)
+    placed, (id_at, text_at), _ = aside(documents, id_col, text_col)
+    marked = among(placed, id_at, dropped)
+    left = marked.filter("_maybe").drop("_maybe").join(dropped, F.col(id_at) == F.col("_gone"), "left_anti")
+    left = marked.filter("not _maybe").drop("_maybe").unionAll(left)
+    if not repeated.isEmpty():
+        again = F.col(id_at) == F.col("_twice")
+        left = left.join(repeated, again, "left_anti").unionAll(left.join(repeated, again, "left_semi").dropDuplicates([id_at, text_at]))
+    return left.toDF(*documents.columns)
 
 
 def brute_force(rows: list[tuple[int, str | None]], n: int, percent: int) -> dict[int, tuple[int, int]]:

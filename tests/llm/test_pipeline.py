@@ -46,7 +46,7 @@ def test_stages(spark, tables):
     assert set(near) == {i for i, (_, top) in brute.items() if i == top}
     hits = decontaminate.brute_force(list(near.items()), [(r.item_id, r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()])
     assert set(clean) == {i for i in near if not hits[i][3]}
-    first = lines.brute_force(list(quality.items()))
+    first = lines.brute_force(list(quality.items()), c.LINE_THRESHOLD)
     for i, text in by_line.items():
         kept = [x for n, x in enumerate((quality[i] or "").split("\n")) if first.get((i, n), (i, n))[:2] == (i, n)]
         assert (text or "") == "\n".join(kept)
@@ -66,6 +66,19 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tables):
         assert stage(spark, docs.limit(0), tables).count() == 0
 
 
+def test_very_long_texts_repeated_rows_and_null_ids(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").filter("doc_id < 30")
+    long = "\n".join(f"line {i} of a long text with words enough {i * i}" for i in range(30_000))
+    more = frame(spark, [(900, long, "en", "a", len(long)), (900, long, "en", "a", len(long)), (None, "no id", "en", "a", 5), (None, "no id", "en", "a", 5)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.unionByName(more)
+    for name, stage in c.STAGES[1:4]:
+        docs = stage(spark, docs, tables)
+    out = docs.collect()
+    assert [len(r.text) for r in out if r.doc_id == 900] == [len(long)] and sum(r.doc_id is None for r in out) == 2
+    packed = packing.pack(docs).filter("doc_id = 900").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).first()
+    assert packed.n == packed.t > 100_000
+
+
 def test_nothing_else_imports_the_subpackage():
     root = os.path.dirname(inspect.getsourcefile(c))
     for folder, _, names in os.walk(os.path.join(root, "millrace")):
