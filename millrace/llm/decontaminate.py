@@ -26,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, aside, keeps, stored, task, widen
-from millrace.session import ship_package
+from millrace.llm._work import arrow_schema, aside, bounded_batches, keeps, stored, task, widen
 
 WINDOW = 13
 #: A document is contaminated if one word in so many is hit.
@@ -122,7 +121,7 @@ def scan(
     disjoint and sorted) and ``_hit_items`` (ids with an occurring window, as text). With ``removing`` contaminated ones
     are left out and hit spans cut, in the pass that scans the last block."""
     spark = documents.sparkSession
-    ship_package(spark)
+    bounded_batches(spark)
     schema = widen(documents.schema, SCANNED)
     out, again, ahead = documents, False, None
     blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
