@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, lines, minhash, packing, quality
-from millrace.llm._work import stored
+from millrace.llm._work import discard, stored
 
 #: Words in a shingle and the similarity, in percent, from which documents are near copies.
 SHINGLE, PERCENT = 5, 80
@@ -64,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; each is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        last, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
