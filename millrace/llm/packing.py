@@ -44,7 +44,7 @@ TERMS = 64
 AT_ONCE = 64
 K1, B = 1.2, 0.75
 #: A worker process keeps the ids of at most half as many runs as this table has places.
-TABLE_BITS = 22
+TABLE_BITS = 21
 #: ASCII punctuation; an apostrophe may begin a piece of its own and is left out.
 TAILS = ".,!?;:%&$#*+-/<=>@\\^_`|~\"()[]{}"
 
@@ -179,7 +179,7 @@ class Encoder:
     def batch(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each text's runs and the end mark, one text after the other; offsets of the texts)."""
         parts, counts = [], []
-        for _, _, data, offsets in text.chunks(column, 4 * text.CHUNK):
+        for _, _, data, offsets in text.chunks(column):
             low = text.LOWER[data]
             starts, ends, first = text.words(data, offsets, text.NONSPACE)
             beyond = np.flatnonzero(data >= 0xC4)
@@ -379,7 +379,7 @@ def _tokens(slim: DataFrame, path: str | None) -> DataFrame:
     def run(batches):
         encode = encoder(path or tokenizer_path())
         for batch in batches:
-            for a, b, _, _ in text.chunks(batch.column(1), 4 * text.CHUNK):
+            for a, b, _, _ in text.chunks(batch.column(1)):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), _binary(*encode.batch(part.column(1)))], schema=arrow)
 

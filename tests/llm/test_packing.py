@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -32,6 +33,17 @@ def test_ids_equal_those_of_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == wanted
 
 
+def test_encoding_holds_little_beside_its_results():
+    encoder = p.Encoder(p.tokenizer_path())
+    column = pa.array(["some words of a text " * 50] * 6000)
+    encoder.batch(column.slice(0, 1))
+    tracemalloc.start()
+    ids, _ = encoder.batch(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * ids.nbytes
+
+
 def test_every_id_is_in_one_piece_and_nothing_is_padded(spark):
     rows = corpus(5, 120) + [(900, None), (900, None), (None, "x")]
     out = p.pack(clashing(frame(spark, rows)), shard_tokens=6_000, keep_ids=True).collect()
