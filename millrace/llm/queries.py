@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontaminate, licenses, lines, minhash, packing, quality, secrets, sharding, topk
+from millrace.llm import chat, decontaminate, licenses, lines, minhash, packing, quality, repair, secrets, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -219,3 +219,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op7_chat"] = chat.SQL
+
+
+@query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op13_repair"] = repair.SQL
