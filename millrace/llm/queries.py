@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontaminate, licenses, lines, minhash, packing, quality, repair, secrets, sharding, topk
+from millrace.llm import chat, decontaminate, licenses, lines, minhash, packing, pages, quality, repair, secrets, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -227,3 +227,23 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_repair"] = repair.SQL
+
+
+@query
+def op11_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+# In these tables an article is one element, of headings and paragraphs that may lack an end, and of few character references.
+ORACLE["op11_pages"] = r"""
+WITH a AS (
+    SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>') AS parts FROM pages
+), b AS (
+    SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&(?:quot);?', '"', 'g')) AS parts FROM a
+), c AS (
+    SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?|&#38;', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM b
+), d AS (
+    SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM c
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
