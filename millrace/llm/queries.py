@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontaminate, licenses, lines, minhash, packing, pages, quality, repair, secrets, sharding, topk
+from millrace.llm import chat, decontaminate, licenses, lines, minhash, packing, pages, quality, repair, secrets, sharding, topk, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -247,3 +247,31 @@ WITH a AS (
 )
 SELECT page_id, url, text, length(text) AS n_chars FROM d
 """
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op12_whitening SQL can express: the fit list and exact deviations."""
+    return whitening.report(table(spark, sf_dir, "embeddings")).filter("component = 1").select("vec_id", "n", "deviation")
+
+
+ORACLE["whitening_base"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT) + 1000000) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), f AS (
+    SELECT DISTINCT x FROM v
+), e AS (
+    SELECT unnest(x) AS x, generate_subscripts(x, 1) AS i FROM f
+), s AS (
+    SELECT list(total ORDER BY i) AS sums FROM (SELECT i, CAST(sum(x) AS BIGINT) AS total FROM e GROUP BY i)
+), c AS (
+    SELECT count(*) AS n FROM f
+)
+SELECT vec_id, n, CAST(list_sum(list_transform(x, lambda a, i: (n * a - sums[i]) * (n * a - sums[i]))) AS BIGINT) AS deviation FROM v, s, c
+"""
