@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.errors import FieldError
 from millrace.schema import SPARK_TYPES, column, require, storage_of
 from millrace.streaming.limits import require_batch
 
@@ -198,18 +199,65 @@ class DistinctProbe(Probe):
         return {"values": least.agg(F.sort_array(F.collect_list("v")))}
 
 
+def _types(c: Column, kind: T.DataType) -> Column:
+    """The storage type of each value: of a variant its own, ``null`` where there is none; of other columns that of the column."""
+    if not isinstance(kind, T.VariantType):
+        return F.when(c.isNull(), "null").otherwise(F.lit(storage_of(kind)))
+    name = F.regexp_extract(F.schema_of_variant(c), r"^\w+", 0)
+    named = F.when(name.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer").when(name.isin("DOUBLE", "FLOAT", "DECIMAL"), "float")
+    named = named.when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name.isin("DATE", "TIMESTAMP", "TIMESTAMP_NTZ"), "date")
+    named = named.when(name == "ARRAY", "array").when(name.isin("VOID", ""), "null").otherwise("unknown")
+    return F.when(c.isNull(), "null").otherwise(named)
+
+
 class StorageTypeProbe(Probe):
+    """The set of ``types`` that values have, null as one; the ``type`` that all others have, if it is one, and whether it is
+    ``unique``. A column that is no variant has the type of the column. There are no more types than storage types."""
+
     name = "storage_type"
 
     def columns(self, c, kind):
-        return {"type": F.first(F.lit(storage_of(kind))), "unique": F.lit(True)}
+        types = F.array_sort(F.collect_set(_types(c, kind)))
+        if not isinstance(kind, T.VariantType):
+            return {"type": F.first(F.lit(storage_of(kind))), "unique": F.lit(True), "types": types}
+        real = F.array_remove(types, "null")
+        return {"type": F.when(F.size(real) == 1, real[0]), "unique": F.size(real) == 1, "types": types}
 
 
 class FieldTypeProbe(Probe):
+    """Types as ``StorageTypeProbe`` has them, and the numbers of nulls and empty strings; a variant's own ones count, too."""
+
     name = "field_type"
 
     def columns(self, c, kind):
-        return {"type": F.first(F.lit(storage_of(kind))), "null_count": _nulls(c), "empty_string_count": _empties(c, kind)}
+        found = {k: v for k, v in StorageTypeProbe().columns(c, kind).items() if k != "unique"}
+        variant = isinstance(kind, T.VariantType)
+        nulls = F.count_if(_types(c, kind) == "null") if variant else _nulls(c)
+        empties = F.count_if(F.try_variant_get(c, "$", "string") == "") if variant else _empties(c, kind)
+        return {**found, "null_count": nulls, "empty_string_count": empties}
+
+
+def value_types(df: DataFrame, field: str) -> DataFrame:
+    """A row per key of the objects in a field of JSON text, or of variants: key, value_count, null_count, empty_string_count,
+    storage_types (sorted) and unique_storage_type. Records that hold no object count under the key null, by their own type;
+    text that is no JSON has the type ``unknown``."""
+    require_batch(df, "types of values")
+    name = require(df, [field])[0]
+    kind, c = df.schema[name].dataType, column(df, name)
+    if not isinstance(kind, (T.StringType, T.VariantType)):
+        raise FieldError(f"{name!r} holds neither text nor variants")
+    slim = df.select((F.try_parse_json(c) if isinstance(kind, T.StringType) else c).alias("v"), c.isNull().alias("absent"))
+    slim = slim.withColumn("object", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+    # Every row of the function has a key, so that a record without an object has one row, of itself.
+    inner = slim.filter("object").lateralJoin(slim.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    each = inner.select("key", F.col("value"), F.lit(True).alias("json"))
+    own = slim.filter("NOT object").select(F.lit(None).cast("string").alias("key"), F.col("v").alias("value"), (F.col("v").isNotNull() | F.col("absent")).alias("json"))
+    both = each.unionAll(own)
+    marked = both.withColumn("type", F.when(F.col("json"), _types(F.col("value"), T.VariantType())).otherwise("unknown")).withColumn("empty", F.coalesce(F.try_variant_get("value", "$", "string") == "", F.lit(False)) & (F.col("type") == "string"))
+    types = F.array_sort(F.collect_set("type"))
+    return marked.groupBy("key").agg(
+        F.count("*").alias("value_count"), F.count_if(F.col("type") == "null").alias("null_count"), F.count_if("empty").alias("empty_string_count"), types.alias("storage_types"), F.when(F.size(types) == 1, types[0]).alias("unique_storage_type")
+    )
 
 
 class ValueTypeProbe(Probe):
