@@ -71,3 +71,36 @@ def firsts_marked(df: DataFrame, names: Sequence[Column], keys: Sequence[Column]
     before = F.lag(key).over(Window.partitionBy(PART).orderBy(INDEX))
     out = at.withColumn("_before", before).join(F.broadcast(lasts), PART)
     return out.withColumn(mark, ~key.eqNullSafe(F.when(F.col(INDEX) == 0, F.col("_last")).otherwise(F.col("_before")))).drop(PART, INDEX, "_before", "_last", *held)
+
+
+def moving(df: DataFrame, keys: Sequence[Column], before: int, after: int, columns: dict[str, Column], rows: int = 1 << 16) -> DataFrame:
+    """``df`` with aggregates over the records from ``before`` to ``after`` places away (negative: before), in one order of all.
+
+    Places are dealt to blocks of ``rows``, or as many as a frame has; a record goes to its own block and to those whose frames
+    reach it, so that each block is a window of its own and no more than frames' ends move twice.
+    """
+    at = numbered(df, keys)
+    size = max(rows, abs(before) + abs(after) + 1)
+    block = lambda c: F.floor(c / F.lit(size)).cast("bigint")
+    # A record at place p is in the frames of the records from p - after to p - before.
+    first, last = block(F.least(F.col(PLACE), F.col(PLACE) - after)), block(F.greatest(F.col(PLACE), F.col(PLACE) - before))
+    dealt = at.withColumn("_block", F.explode(F.sequence(F.greatest(first, block(F.lit(1))), F.least(last, block(F.col(TOTAL))))))
+    over = Window.partitionBy("_block").orderBy(PLACE).rowsBetween(before, after)
+    made = dealt.withColumns({n: c.over(over) for n, c in columns.items()})
+    return made.filter(F.col("_block") == block(F.col(PLACE))).drop("_block", PLACE, TOTAL)
+
+
+def carried(df: DataFrame, group: Sequence[Column], keys: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """``df`` with the last ``value`` that isn't null up to each record, among records of the same ``group``, in the order of
+    ``keys``. Records are sorted by group and keys into ranges, so that a large group is many of them; what a range ends with
+    is a row that is handed on to the next ones."""
+    held = {f"_k{i}": c for i, c in enumerate(group)}
+    same = F.struct(*held) if held else F.struct(F.lit(0).alias("_k"))
+    at = sorted_rows(df, [*group, *keys], **held, _value=value)
+    kept = F.when(F.col("_value").isNotNull(), F.struct(same.alias("of"), F.col("_value").alias("is")))
+    ends = at.groupBy(PART).agg(F.max_by(kept, F.when(F.col("_value").isNotNull(), F.col(INDEX))).alias("_end"))
+    ends = ends.select(F.col(PART).alias("_p"), F.last("_end", ignorenulls=True).over(_before()).alias("_end"))
+    inside = Window.partitionBy(PART).orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0)
+    joined = at.withColumn("_inside", F.last(kept, ignorenulls=True).over(inside)).join(F.broadcast(ends), F.col(PART) == F.col("_p"))
+    found = F.coalesce("_inside", "_end")
+    return joined.withColumn(name, F.when(found["of"].eqNullSafe(same), found["is"])).drop(PART, INDEX, "_p", "_end", "_inside", "_value", *held)

@@ -13,7 +13,7 @@ from millrace.errors import FieldError, StreamError
 from millrace.functions.expressions import translate
 from millrace.operators import order
 from millrace.operators.fields import call
-from millrace.schema import FieldMap, column, require
+from millrace.schema import FieldMap, column, named, require
 from millrace.streaming.limits import require_batch
 
 
@@ -134,6 +134,22 @@ def sort(df: DataFrame, order_by: Iterable, descending: bool | Sequence[bool] =
     return ordered if limit is None else ordered.limit(int(limit))
 
 
+MOVING = {"sum": F.sum, "average": F.avg, "min": F.min, "max": F.max, "count": F.count, "first": F.first, "last": F.last}
+
+
+def moving(df: DataFrame, order_by: Iterable, measures: dict, before: int, after: int) -> DataFrame:
+    """Append aggregates over a moving frame of records in one order of all: from ``before`` to ``after`` places away, negative
+    ones before. ``measures`` has new names and (aggregation, field), or columns. An extension.
+
+    The value so many places away is ``first`` of the frame that is that place only. No task has the whole order.
+    """
+    require_batch(df, "a moving frame")
+    if before > after:
+        raise FieldError("a frame ends before it begins")
+    made = {n: m if isinstance(m, Column) else MOVING[m[0]](named(require(df, [m[1]])[0])) for n, m in measures.items()}
+    return order.moving(df, _ordered(df, list(order_by)), before, after, made)
+
+
 def intersect(*inputs: DataFrame, keep_all: bool = False) -> DataFrame:
     """Records of the first input that are in all others, each once, or as often as in all of them. An extension."""
     if not inputs:

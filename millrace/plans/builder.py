@@ -62,6 +62,14 @@ class Fork:
         """This fork as the master, joined with others as details."""
         return self._joined("merge", forks, kwargs)
 
+    def as_of_join(self, fork: Fork, **kwargs: Any) -> Fork:
+        """This fork's records with the last ones of another."""
+        return self._joined("as_of_join", (fork,), kwargs)
+
+    def interval_join(self, fork: Fork, **kwargs: Any) -> Fork:
+        """This fork's records with the intervals of another that hold them."""
+        return self._joined("interval_join", (fork,), kwargs)
+
     def dataframe(self, spark: SparkSession | None = None) -> DataFrame:
         """The lazy table at this place."""
         return self.stream.compile(spark)[self.stream.node_name(self.node)]

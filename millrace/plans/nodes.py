@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from millrace import sources
 from millrace.errors import StreamError
 from millrace.operators import fields as field_operators
-from millrace.operators import quality, records
+from millrace.operators import expand, joins, quality, records, statistics
 from millrace.plans.node import Node, register
 from millrace.schema import FieldList
 
@@ -77,8 +77,8 @@ _source("record_list_source", "Rows of a list of dicts.", lambda n: sources.Reco
 _source(
     "generator_function_source",
     "Rows that a generator function yields.",
-    lambda n: sources.GeneratorSource(n.function, n.fields, *(n.args or ()), **(n.kwargs or {})),
-    {"function": "the function", "args": "its arguments", "kwargs": "its keyword arguments"},
+    lambda n: sources.GeneratorSource(n.function, n.fields, *(n.args or ()), partitions=n.partitions, **(n.kwargs or {})),
+    {"function": "the function", "args": "its arguments", "kwargs": "its keyword arguments", "partitions": "lists of arguments, a call in a task for each"},
     {"kwargs": {}},
     order=["function", "fields"],
     extra="kwargs",
@@ -369,6 +369,13 @@ _step(
     {"order_by": "fields", "descending": "whether the order falls, for all fields or each", "limit": "records to keep"},
     {"order_by": [], "descending": False},
 )
+_step(
+    "moving",
+    "Append aggregates over a moving frame of one order of all records.",
+    lambda n, df: records.moving(df, n.order_by or (), n.measures, int(n.before), int(n.after)),
+    {"order_by": "fields", "measures": "aggregation and field by new name", "before": "first place of the frame, from the record's own", "after": "its last place"},
+    {"order_by": [], "measures": {}, "before": 0, "after": 0},
+)
 _step("intersect", "Records that are in all inputs.", lambda n, *inputs: records.intersect(*inputs, keep_all=n.keep_all), {"keep_all": "whether repeated records stay"}, {"keep_all": False}, arity=(1, None))
 _step("except", "Records of the first input that are in no other.", lambda n, *inputs: records.subtract(*inputs, keep_all=n.keep_all), {"keep_all": "whether repeated records stay"}, {"keep_all": False}, arity=(1, None))
 _step("append", "All records of all inputs.", lambda n, *inputs: records.append(*inputs), {}, arity=(1, None))
@@ -389,6 +396,41 @@ _step(
 )
 
 
+_step(
+    "as_of_join",
+    "Join each record with the last one of another input that isn't later.",
+    lambda n, a, b: joins.as_of(a, b, n.at, n.by or (), n.right_at, n.right_by, n.direction, n.strict, None, n.how, n.order_by or ()),
+    {"at": "field of the time", "by": "keys", "right_at": "field of the time on the right", "right_by": "keys on the right", "direction": "backward or forward", "strict": "whether equal times don't match", "how": "left or inner", "order_by": "fields that order what is at one time on the right"},
+    {"by": [], "direction": "backward", "strict": False, "how": "left"},
+    arity=(2, 2),
+)
+_step(
+    "interval_join",
+    "Join each record with the intervals of another input that hold it.",
+    lambda n, a, b: joins.interval_join(a, b, n.at, n.low, n.high, n.by or (), n.interval_by, n.closed, n.how),
+    {"at": "field of the value", "low": "field of the begin", "high": "field of the end", "by": "keys", "interval_by": "keys of the intervals", "closed": "ends that belong to an interval: left, right, both or neither", "how": "inner, left, left_semi or left_anti"},
+    {"by": [], "closed": "left", "how": "inner"},
+    arity=(2, 2),
+)
+_step(
+    "table_function",
+    "A record for each row that a function yields of a record's fields.",
+    lambda n, df: expand.table_function(df, n.function, n.fields, n.outputs, n.keep_empty, **(n.kwargs or {})),
+    {"function": "of the fields' values", "fields": "names", "outputs": "new fields", "keep_empty": "whether records without a row stay", "kwargs": "further arguments"},
+    {"keep_empty": False, "kwargs": {}},
+    extra="kwargs",
+    protected=("function",),
+)
+_step(
+    "field_statistics",
+    "Statistics of each field, from sketches that could be kept and united.",
+    lambda n, df: statistics.finish(statistics.state(df), n.distinct_threshold, quantiles=n.quantiles or ()),
+    {"distinct_threshold": "below which distinct values are listed", "quantiles": "shares"},
+    {"distinct_threshold": 10, "quantiles": []},
+)
+_step("value_types", "Types of the values of each key of JSON objects.", lambda n, df: quality.value_types(df, n.field), {"field": "its name"})
+
+
 class AggregateNode(
     _step(
         "aggregate",

@@ -370,3 +370,21 @@ def coalesce_value(value: Any, storage_type: str, empty_values: dict | None = No
     if storage_type == "list":
         return value.split(",") if isinstance(value, str) else (empty if value is None else list(value))
     return value
+
+
+def fitting(value: Any, kind: str) -> Any:
+    """A Python value for a field of a Spark type, by name; None stays, what can't be a number is None."""
+    if value is None:
+        return None
+    if kind == "string":
+        return value if isinstance(value, str) else str(value)
+    if kind == "long":
+        return coalesce_value(value, "integer")
+    if kind == "double":
+        return coalesce_value(value, "float")
+    return value
+
+
+def named(name: str) -> Column:
+    """A column by its whole name, of whatever table it is used on."""
+    return F.col("`" + name.replace("`", "``") + "`")
