@@ -22,9 +22,12 @@ Words are joined by their rarest grams of two words. Each line's grams are put i
 from rare to common by a sample, which is of no weight for what is found, and the first stand for it, until more of them are
 apart than words may be edited: one of these is left in any partner, and the line whose last comes first has it in common
 with the other. Of the lines that share a key only those go on whose sketches (words of 64 classes, odd or even) are as near
-as edits allow, and their texts are fetched for that. A pair is compared in the first group that it shares.
+as edits allow, and their texts are fetched for that. Lines of so many words that an edit of a character, two edits of words at
+most, is always within the word edits have no keys of characters.
 
-Links give classes of lines. A line is kept where it is the first of its class by
+A pair is compared in the first group that it shares, by arrays of lengths, sketches and numbered words first. What leaves a
+task is, for each group, the number of links of each line and the edges that join classes, no more rows than lines: sums of
+the numbers are exact, as each pair is counted once. Links give classes of lines. A line is kept where it is the first of its class by
 (id, line number).
 
 Defined cases: null and empty texts have no lines; a row with a null id takes no part; rows with one id share their line
@@ -80,7 +83,7 @@ class Threshold:
 
     def of_words(self) -> Threshold:
         """The same over sequences of words."""
-        return Threshold(edits=0, percent=self.words, exact_below=1)
+        return _over_words(self.words)
 
     def of(self, n: int) -> int:
         if n < self.exact_below:
@@ -88,6 +91,13 @@ class Threshold:
         grown = max(self.edits, n * self.percent // 100)
         return grown if self.most is None else min(grown, self.most)
 
+    def by_words(self, line: str) -> bool:
+        """Whether every line within the character edits of ``line`` is within its word edits as well: an edit of a character is
+        two of words at most, where it parts or joins them."""
+        if not self.words or not (t := max((self.of(len(line)), *self.of_probes(len(line))))):
+            return False
+        return self.of_words().of(len(line.encode("utf-8", "surrogatepass").split())) >= 2 * t
+
     def of_probes(self, n: int) -> list[int]:
         """Thresholds with which lines of ``n`` characters or more may probe for lines of ``n``."""
         found, m = set(), max(n, self.exact_below)
@@ -97,6 +107,11 @@ class Threshold:
         return sorted(found - {0})
 
 
+@lru_cache
+def _over_words(percent: int) -> Threshold:
+    return Threshold(edits=0, percent=percent, exact_below=1)
+
+
 def cuts(r: int, t: int) -> list[int]:
     """Where ``r`` characters are cut into ``t`` + 1 segments, the longer ones last."""
     size, more = divmod(r, t + 1)
@@ -305,14 +320,15 @@ _MEMBER = f"key bigint, probe boolean, {_TWO}"
 
 
 def _key_rows(documents: DataFrame, threshold: Threshold) -> DataFrame:
-    """(key, probe, h1, h2): keys of the lines, each line once for a batch; ``probe`` marks those that are not in the index."""
+    """(key, probe, h1, h2): keys of the lines, each line once for a batch; ``probe`` marks those that are not in the index. Lines
+    whose partners are found by words have none."""
 
     digest = xxhash.xxh3_64_intdigest
 
     def made(found: list[tuple[str, tuple[int, int]]]) -> pa.RecordBatch:
         keys, probes, sizes = [], [], []
         for line, _ in found:
-            own, probe = plan(len(line), threshold)
+            own, probe = ((), ()) if threshold.by_words(line) else plan(len(line), threshold)
             sizes.append(len(own))
             keys += [digest(line[a:b], seed) for seed, a, b in own]
             probes += probe
@@ -383,71 +399,199 @@ def _cut_again(members: DataFrame, threshold: Threshold) -> DataFrame:
     return members.select("key", "probe", "h1", "h2", "left", "line").mapInArrow(task("lines", run), f"old bigint, {_MEMBER}, {_LEFT}")
 
 
-class _Words:
-    """A line's words, whether it has an odd number of each of 64 classes of them, and its keys."""
+def _odd(parts: str | tuple[str, ...]) -> int:
+    """Of each of 64 classes of parts whether there is an odd number. The classes are those of one process."""
+    out = 0
+    for part, n in Counter(parts).items():
+        if n & 1:
+            out ^= 1 << (hash(part) & 63)
+    return out
 
-    def __init__(self, line: str, keys: list[int], indexed: list[int]):
-        self.words, self.keys, self.indexed, self.sketch = words_of(line), frozenset(keys), frozenset(indexed), 0
-        for word in self.words:
-            self.sketch ^= 1 << (hash(word) & 63)
 
-    def near(self, other: _Words, key: int, threshold: Threshold) -> bool:
-        """Whether ``key`` is the first that both share, no probe in one of them at least, and the words are within the threshold."""
-        s, t = self.words, other.words
-        most = threshold.of(max(len(s), len(t)))
-        # An edit changes two bits at most.
-        if abs(len(s) - len(t)) > most or (self.sketch ^ other.sketch).bit_count() > 2 * most:
+class _Member:
+    """A line of a group: its characters or words, whether it has an odd number of each of 64 classes of them, and its keys."""
+
+    __slots__ = ("block", "h", "indexed", "keys", "line", "own", "parts", "probe", "sketch")
+
+    def __init__(self, block: int, probe: bool, h: tuple[int, int], line: str, keys: list[int], indexed: list[int], words: bool):
+        self.block, self.probe, self.h, self.line = block, probe, h, line
+        self.keys, self.indexed = frozenset(keys), frozenset(indexed)
+        self.parts: str | tuple[str, ...] = words_of(line) if words else line
+        self.sketch = _odd(self.parts)
+
+
+class _Groups:
+    """What a task finds in groups: how many links each line has, and edges that join classes, no more than there are lines.
+
+    A pair is compared in the first group that it shares; two probes share none. ``beside``: the threshold of characters, whose
+    pairs are left out where both lines have keys of characters, as they are found by these.
+    """
+
+    #: Lines from which a group is compared by arrays.
+    ARRAYS = 12
+
+    def __init__(self, threshold: Threshold, words: bool, beside: Threshold | None):
+        self.threshold, self.words, self.beside = threshold, words, beside
+        self.rows: list[tuple] = []
+
+    def _near(self, x: _Member, y: _Member, most: int) -> bool:
+        s, t = x.parts, y.parts
+        if not ((self.words and len(s) == len(t) and sum(map(ne, s, t)) <= most) or distance_within(s, t, most)):
             return False
-        if min((self.indexed & other.keys) | (self.keys & other.indexed)) != key:
+        return not self._beside(x, y)
+
+    def _beside(self, x: _Member, y: _Member) -> bool:
+        if self.beside is None:
+            return False
+        if max(len(x.line), len(y.line)) - min(len(x.line), len(y.line)) > (most := self.beside.of(max(len(x.line), len(y.line)))):
             return False
-        return (len(s) == len(t) and sum(map(ne, s, t)) <= most) or distance_within(s, t, most)
-
-
-def _verified(members: DataFrame, threshold: Threshold) -> DataFrame:
-    """(a1, a2, b1, b2) of the links inside groups of (key, p, q); pairs of two blocks are between them. If members have ``keys``
-    and ``indexed``, all of their line's and those in which it is no probe, a pair is compared in the first group that it shares,
-    by words."""
-    words = "keys" in members.columns
-
-    def links(group: list[tuple]) -> Iterator[tuple]:
-        key, p, q = group[0][:3]
-        if words:
-            group = [(*row[:7], _Words(*row[7:])) for row in group]
-        # Pairs of two probes are none of this group's.
-        group = sorted(group, key=lambda row: row[4])
-        for i, (_, _, _, block, probe, x1, x2, x) in enumerate(group):
-            if probe:
-                break
-            for _, _, _, other, _, y1, y2, y in group[i + 1 :]:
-                if (p != q and block == other) or (x1, x2) == (y1, y2):
+        return distance_within(x.line, y.line, most) and not self.beside.by_words(x.line) and not self.beside.by_words(y.line)
+
+    def add(self, key: int, apart: bool, group: list[_Member]) -> None:
+        """Compare a group's lines; ``apart``: only those of its two blocks with each other."""
+        if all(m.probe for m in group):
+            return
+        counts, edges = (self._arrays if len(group) > self.ARRAYS else self._plain)(key, apart, group)
+        self.rows += [(*m.h, n, None, None) for m, n in zip(group, counts) if n]
+        self.rows += [(*group[i].h, 0, *group[j].h) for i, j in edges]
+
+    def _plain(self, key: int, apart: bool, group: list[_Member]) -> tuple[list[int], list[tuple[int, int]]]:
+        counts, edges, top = [0] * len(group), [], list(range(len(group)))
+        for i, x in enumerate(group):
+            for j in range(i + 1, len(group)):
+                y = group[j]
+                most = self.threshold.of(max(len(x.parts), len(y.parts)))
+                # An edit changes two bits at most.
+                if (x.probe and y.probe) or (apart and x.block == y.block) or abs(len(x.parts) - len(y.parts)) > most or (x.sketch ^ y.sketch).bit_count() > 2 * most:
                     continue
-                if x.near(y, key, threshold) if words else distance_within(x, y, threshold.of(max(len(x), len(y)))):
-                    yield (x1, x2, y1, y2) if (x1, x2) < (y1, y2) else (y1, y2, x1, x2)
+                if min((x.indexed & y.keys) | (x.keys & y.indexed)) == key and self._near(x, y, most):
+                    counts[i] += 1
+                    counts[j] += 1
+                    if top[i] != top[j]:
+                        edges.append((i, j))
+                        old, new = top[j], top[i]
+                        top = [new if t == old else t for t in top]
+        return counts, edges
+
+    def _arrays(self, key: int, apart: bool, group: list[_Member]) -> tuple[list[int], list[tuple[int, int]]]:
+        size = len(group)
+        lengths = np.array([len(m.parts) for m in group])
+        most = np.array([self.threshold.of(n) for n in range(int(lengths.max()) + 1)])
+        sketch = np.array([m.sketch for m in group], np.uint64)
+        probe, block = np.array([m.probe for m in group]), np.array([m.block for m in group])
+        # Of each key that comes before this one: the lines that have it, and those in whose index it is.
+        having: dict[int, list[int]] = {}
+        for i, m in enumerate(group):
+            for k in m.keys:
+                if k < key:
+                    having.setdefault(k, []).append(i)
+        shared = {k: (np.array(v), np.array([i for i in v if k in group[i].indexed], np.int64)) for k, v in having.items() if len(v) > 1}
+        codes, where = self._codes(group, lengths) if self.words else ({}, None)
+        if self.beside is not None:
+            chars, letters = np.array([len(m.line) for m in group]), np.array([_odd(m.line) for m in group], np.uint64)
+            near = np.array([self.beside.of(n) for n in range(int(chars.max()) + 1)])
+            own_keys = np.array([not self.beside.by_words(m.line) for m in group])
+        counts, edges, top = np.zeros(size, np.int64), [], np.arange(size)
+        for i in range(size - 1):
+            x, rest = group[i], slice(i + 1, size)
+            bound = most[np.maximum(lengths[rest], lengths[i])]
+            may = (np.abs(lengths[rest] - lengths[i]) <= bound) & (np.bitwise_count(sketch[rest] ^ sketch[i]) <= 2 * bound)
+            if x.probe:
+                may &= ~probe[rest]
+            if apart:
+                may &= block[rest] != block[i]
+            if not may.any():
+                continue
+            for k in x.keys:
+                if k < key and k in shared:
+                    found = shared[k][0] if k in x.indexed else shared[k][1]
+                    may[found[np.searchsorted(found, i, side="right") :] - (i + 1)] = False
+            at = np.flatnonzero(may)
+            bound, at = bound[at], at + i + 1
+            if self.words:
+                same = lengths[at] == lengths[i]
+                sure = np.zeros(len(at), bool)
+                own = codes[int(lengths[i])]
+                sure[same] = (own[where[at[same]]] != own[where[i]]).sum(axis=1) <= bound[same]
+                for place in np.flatnonzero(~sure).tolist():
+                    sure[place] = distance_within(x.parts, group[at[place]].parts, int(bound[place]))
+                at = at[sure]
+                if self.beside is not None and own_keys[i]:
+                    most_of = near[np.maximum(chars[at], chars[i])]
+                    close = own_keys[at] & (np.abs(chars[at] - chars[i]) <= most_of) & (np.bitwise_count(letters[at] ^ letters[i]) <= 2 * most_of)
+                    for place in np.flatnonzero(close).tolist():
+                        close[place] = distance_within(x.line, group[at[place]].line, int(most_of[place]))
+                    at = at[~close]
+                linked = at.tolist()
+            else:
+                linked = [j for j, b in zip(at.tolist(), bound.tolist()) if self._near(x, group[j], b)]
+            if not linked:
+                continue
+            counts[i] += len(linked)
+            counts[linked] += 1
+            others, first = np.unique(top[linked], return_index=True)
+            for other, place in zip(others.tolist(), first.tolist()):
+                if other != top[i]:
+                    edges.append((i, linked[place]))
+                    top[top == other] = top[i]
+        return counts.tolist(), edges
+
+    @staticmethod
+    def _codes(group: list[_Member], lengths: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+        """Words as numbers, a table for each length, and each line's row there."""
+        known: dict[str, int] = {}
+        tables: dict[int, list] = {}
+        where = np.zeros(len(group), np.int64)
+        for i, m in enumerate(group):
+            own = tables.setdefault(int(lengths[i]), [])
+            where[i] = len(own)
+            own.append([known.setdefault(w, len(known)) for w in m.parts])
+        return {n: np.array(rows, np.int32).reshape(len(rows), n) for n, rows in tables.items()}, where
+
+
+_FOUND = "a1 bigint, a2 bigint, n bigint, b1 bigint, b2 bigint"
+
+
+def _verified(members: DataFrame, threshold: Threshold, words: bool = False, beside: Threshold | None = None) -> DataFrame:
+    """What is found inside of groups of (key, p, q), whose members have all ``keys`` of their line and those that are ``indexed``:
+    (a1, a2, n, null, null) a line with the number of its links, (a1, a2, 0, b1, b2) an edge between classes."""
 
     def run(batches):
-        group: list[tuple] = []
+        found = _Groups(threshold, words, beside)
+        group: list[_Member] = []
+        at = None
         for batch in batches:
-            found = []
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
-                if group and group[0][:3] != row[:3]:
-                    found += links(group)
-                    group = []
-                group.append(row)
-            yield _links_batch(found)
-        yield _links_batch(list(links(group)) if group else [])
+            for key, p, q, block, probe, h1, h2, line, keys, indexed in zip(*(column.to_pylist() for column in batch.columns)):
+                if at != (key, p, q):
+                    if group:
+                        found.add(at[0], at[1] != at[2], group)
+                    at, group = (key, p, q), []
+                group.append(_Member(block, probe, (h1, h2), line, keys, indexed, words))
+            yield _found_batch(found)
+        if group:
+            found.add(at[0], at[1] != at[2], group)
+        yield _found_batch(found)
 
     # Groups are together and in order in a partition; one has two blocks at most.
     sorted_ = members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return sorted_.select("key", "p", "q", "block", "probe", "h1", "h2", "line", *(["keys", "indexed"] if words else [])).mapInArrow(task("lines", run), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    return sorted_.select("key", "p", "q", "block", "probe", "h1", "h2", "line", "keys", "indexed").mapInArrow(task("lines", run), _FOUND)
+
+
+def _found_batch(found: _Groups) -> pa.RecordBatch:
+    columns = list(zip(*found.rows)) or [[]] * 5
+    found.rows = []
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in _FOUND.split(", ")])
 
 
-def _links_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a1", "a2", "b1", "b2"])
+def _known(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h1, h2, line, keys, indexed) of the lines of groups (key, probe, h1, h2)."""
+    keys = members.groupBy("h1", "h2").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(~F.col("probe"), F.col("key"))).alias("indexed"))
+    return texts.join(keys, ["h1", "h2"])
 
 
 def _links(documents: DataFrame, firsts: DataFrame, threshold: Threshold, group: int) -> DataFrame:
-    """(a1, a2, b1, b2) of all pairs of different lines within the threshold, each pair once, stored; ``firsts``: a place of each line."""
+    """What ``_verified`` finds of all pairs of different lines within the threshold of characters, but for those of lines whose
+    partners are found by words; stored. ``firsts``: a place of each line."""
     rows = stored(_key_rows(documents, threshold), "keys")
     shared = stored(_shared(rows), "shared")
     met = _of(rows, shared).groupBy("key", "h1", "h2").agg(F.min("probe").alias("probe"))
@@ -485,7 +629,9 @@ def _links(documents: DataFrame, firsts: DataFrame, threshold: Threshold, group:
     all_ready = ready[0]
     for more in ready[1:]:
         all_ready = all_ready.unionAll(more)
-    links = stored(_compared(all_ready.distinct(), texts, threshold), "pairs")
+    all_ready = keep(all_ready.groupBy("key", "h1", "h2").agg(F.min("probe").alias("probe"), F.max("blocks").alias("blocks")), "ready")
+    known = keep(_known(all_ready, texts), "known")
+    links = stored(_verified(_dealt(all_ready).join(known, ["h1", "h2"]), threshold), "found")
     discard(*made)
     return links
 
@@ -504,11 +650,6 @@ def _dealt(ready: DataFrame, *more: str) -> DataFrame:
     return dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "probe", "h1", "h2", *more)
 
 
-def _compared(ready: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFrame:
-    """(a1, a2, b1, b2) of the links inside groups (key, probe, h1, h2, blocks), each once."""
-    return _verified(_dealt(ready).join(texts, ["h1", "h2"]), threshold).distinct()
-
-
 @lru_cache(maxsize=1 << 12)
 def word_edits(n: int, threshold: Threshold) -> int:
     """Word edits between a line of ``n`` words and any partner, at most."""
@@ -649,9 +790,9 @@ def _possible(members: DataFrame, threshold: Threshold) -> DataFrame:
     return sorted_.select(*names, "n", "sketch").mapInArrow(task("lines", run), f"key bigint, p int, q int, block int, probe boolean, {_TWO}")
 
 
-def _word_links(documents: DataFrame, firsts: DataFrame, threshold: Threshold) -> DataFrame:
-    """(a1, a2, b1, b2) of all pairs of different lines whose words are within the threshold, each pair once, stored; ``firsts``:
-    a place of each line."""
+def _word_links(documents: DataFrame, firsts: DataFrame, threshold: Threshold, beside: Threshold) -> DataFrame:
+    """What ``_verified`` finds of all pairs of different lines whose words are within the threshold, but for those that ``_links``
+    finds with ``beside``; stored. ``firsts``: a place of each line."""
     size = min(GRAM, run_words(threshold))
     common = _common_of(documents, min(1.0, SAMPLE / max(1, firsts.count())), size)
     rows = stored(_gram_rows(documents, threshold, size, common), "keys")
@@ -667,10 +808,9 @@ def _word_links(documents: DataFrame, firsts: DataFrame, threshold: Threshold) -
     places = stored(places.groupBy("doc_id").agg(F.collect_set("line_no").alias("numbers")), "places")
     texts = stored(_texts(documents, places), "lines")
     discard(places)
-    keys = possible.groupBy("h1", "h2").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(~F.col("probe"), F.col("key"))).alias("indexed"))
-    known = stored(texts.join(keys, ["h1", "h2"]), "known")
+    known = stored(_known(possible, texts), "known")
     discard(texts)
-    links = stored(_verified(possible.join(known, ["h1", "h2"]), threshold), "pairs")
+    links = stored(_verified(possible.join(known, ["h1", "h2"]), threshold, True, beside), "found")
     discard(possible, known)
     return links
 
@@ -695,21 +835,19 @@ def _near_lines(documents: DataFrame, id_col: str, text_col: str, threshold: Thr
     lines = stored(_each_line(slim), "each")
     firsts = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n_copies")), "firsts")
     places = firsts.select("h1", "h2", "first.*")
-    links = _links(slim, places, threshold, group)
+    found = [_links(slim, places, threshold, group)]
     if threshold.words:
-        by_character, by_word = links, _word_links(slim, places, threshold.of_words())
-        links = stored(by_character.unionAll(by_word).distinct(), "pairs")
-        discard(by_character, by_word)
-    named = links.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b"))
-    classes = components(named)
-    counts = named.select(F.col("a").alias("node")).unionAll(named.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+        found.append(_word_links(slim, places, threshold.of_words(), threshold))
+    links = found[0].unionAll(found[1]) if len(found) > 1 else found[0]
+    classes = components(links.filter("b1 IS NOT NULL").select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")))
+    counts = links.filter("n > 0").groupBy("a1", "a2").agg(F.sum("n").alias("n_links")).select(_name("a1", "a2").alias("node"), "n_links")
     linked = firsts.withColumn("node", _name("h1", "h2")).join(classes, "node").join(counts, "node")
     tops = linked.groupBy("component").agg(F.min("first").alias("top"))
     placed = linked.join(tops, "component").select("h1", "h2", "top", "n_links")
     known = firsts.join(placed, ["h1", "h2"], "left").select("h1", "h2", "n_copies", F.coalesce("top", "first").alias("top"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     # A table, so that the join of a very common line, one row on the right, can be split.
     known = stored(known, "known")
-    discard(firsts, links, classes)
+    discard(firsts, classes, *found)
     out = lines.join(known, ["h1", "h2"]).select(
         "doc_id",
         "line_no",

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -203,3 +205,75 @@ def test_repeated_rows_and_nothing(spark):
     assert [(r.doc_id, r.text) for r in sorted(twice)] == [(1, line), (1, line), (2, "x")]
     long = "z" * 200_000
     assert found(m.near_lines(frame(spark, [(1, long), (2, long[:-1])]))) == {(1, 0): (1, 0, 1, 1), (2, 0): (1, 0, 1, 1)}
+
+
+def test_an_edit_of_a_character_is_two_of_words_at_most():
+    rng = random.Random(4)
+    for _ in range(20_000):
+        s = "".join(rng.choice("ab c\t") for _ in range(rng.randrange(1, 30))).strip()
+        i, c = rng.randrange(len(s) + 1), rng.choice("ab \t ")
+        t = rng.choice([s[:i] + c + s[i:], s[:i] + s[i + 1 :], s[:i] + c + s[i + 1 :]]).strip()
+        assert m.distance(m.words_of(s), m.words_of(t)) <= 2
+
+
+@pytest.mark.parametrize("words", [10, 25])
+def test_lines_whose_partners_are_found_by_words(spark, words):
+    """Lines on both sides of the length from which words imply characters: nothing is lost, no pair is counted twice."""
+    rng, rows = random.Random(words), []
+    for i in range(16):
+        base = [f"w{rng.randrange(50)}" for _ in range(rng.choice([3, 7, 8, 9, 10, 18, 19, 20, 21, 40]))]
+        for _ in range(4):
+            line = " ".join(base)
+            if rng.random() < 0.6:
+                at, c = rng.randrange(len(line)), rng.choice(" xy")
+                line = rng.choice([line[:at] + c + line[at:], line[:at] + line[at + 1 :]])
+            if rng.random() < 0.4:
+                parts = line.split()
+                parts[rng.randrange(len(parts))] = "new"
+                line = " ".join(parts)
+            rows.append((len(rows), line))
+    for threshold in (m.Threshold(words=words), m.Threshold(edits=2, words=words), m.Threshold(percent=4, most=3, words=words)):
+        assert found(m.near_lines(frame(spark, rows), threshold=threshold, group=3 if threshold.edits == 2 else 512)) == m.brute_force(rows, threshold)
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_arrays_and_plain_loops_agree(apart):
+    rng = random.Random(6)
+    for words in (False, True):
+        threshold = m.Threshold(edits=1, exact_below=4) if not words else m.Threshold(edits=0, percent=20, exact_below=1)
+        beside = m.Threshold(edits=1, words=20) if words else None
+        group = []
+        for i in range(120):
+            base = [rng.choice("abcdefgh") * 3 for _ in range(rng.choice([6, 7, 11]))] if i % 3 == 0 else list(group[-1].line.split(" "))
+            base[rng.randrange(len(base))] = rng.choice(["x", "yy", "abc"])
+            keys = [5, *rng.sample(range(9), 3)]
+            group.append(m._Member(rng.randrange(2), rng.random() < 0.3, (i, 0), " ".join(base), keys, [k for k in keys if rng.random() < 0.7 or k == 5], words))
+        for member in group:
+            member.indexed = member.indexed - {5} if member.probe else member.indexed | {5}
+        groups = m._Groups(threshold, words, beside)
+        plain, arrays = groups._plain(5, apart, group), groups._arrays(5, apart, group)
+        assert plain[0] == arrays[0] and sum(plain[0]) > 0
+        assert _classes(plain[1], 120) == _classes(arrays[1], 120) and len(arrays[1]) < 120
+
+
+def _classes(edges, n):
+    top = list(range(n))
+    for i, j in edges:
+        old, new = top[j], top[i]
+        top = [new if t == old else t for t in top]
+    return {frozenset(i for i in range(n) if top[i] == t) for t in set(top)}
+
+
+def test_rows_of_a_large_class_are_not_its_pairs(spark):
+    """3,000 lines that are all within one word of each other: a few rows a line are stored, and all pairs are counted."""
+    base = " ".join(f"word{i}" for i in range(12))
+    lines = spark.range(3000).selectExpr("id AS doc_id", f"concat('{base} last', id) AS text")
+    places = lines.selectExpr("doc_id", "text")
+    each = m._each_line(places)
+    firsts = each.select("h1", "h2", "doc_id", "line_no")
+    found_ = m._word_links(places, firsts, m.Threshold(words=10).of_words(), m.Threshold(words=10))
+    assert found_.count() <= 12 * 3000 and found_.agg({"n": "sum"}).first()[0] + _by_characters(m, places, firsts) == 3000 * 2999
+
+
+def _by_characters(m, places, firsts):
+    return m._links(places, firsts, m.Threshold(words=10), 512).agg({"n": "sum"}).first()[0] or 0
