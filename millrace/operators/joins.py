@@ -17,7 +17,7 @@ from millrace.streaming.limits import require_batch
 STEP, LEVELS = 16, 16
 
 
-def _free(left: DataFrame, names: Iterable[str], suffix: str) -> list[str]:
+def free_names(left: DataFrame, names: Iterable[str], suffix: str) -> list[str]:
     """Names for the right side's columns, with the suffix where the left one has them."""
     taken = {n.lower() for n in left.columns}
     out = []
@@ -61,7 +61,7 @@ def as_of(
         raise StreamError(f"keys of different lengths: {keys} and {right_keys}")
     time, right_time, ties = require(left, [at])[0], require(right, [right_at or at])[0], require(right, order_by)
     kept = [n for n in right.columns if n not in right_keys]
-    names = _free(left, kept, suffix)
+    names = free_names(left, kept, suffix)
     of_left = F.struct(*(column(left, n).alias(f"l{i}") for i, n in enumerate(left.columns)))
     of_right = F.struct(*(column(right, n).alias(f"r{i}") for i, n in enumerate(kept)), column(right, right_time).alias("t"))
     tie = F.struct(*(column(right, n).alias(f"o{i}") for i, n in enumerate(ties)), F.lit(0).alias("o"))
@@ -134,7 +134,7 @@ def interval_join(
         raise StreamError(f"unknown kind of interval join {how!r}")
     keys, other_keys = require(points, by), require(intervals, interval_by if interval_by is not None else by)
     at, low, high = require(points, [at])[0], *require(intervals, [low, high])
-    names = _free(points, intervals.columns, suffix)
+    names = free_names(points, intervals.columns, suffix)
     right = intervals.select(*(column(intervals, n).alias(f"i{k}") for k, n in enumerate(intervals.columns)))
     of = lambda n: F.col(f"i{intervals.columns.index(n)}")
     begin, end = (_number(of(n), intervals.schema[n].dataType) for n in (low, high))
@@ -199,7 +199,7 @@ def overlap_join(a: DataFrame, b: DataFrame, low: str, high: str, by: Iterable =
     ``b`` holds the beginning of the one of ``a``, or begins inside of it, later."""
     other_low, other_high = other_low or low, other_high or high
     mine, theirs = require(a, [low, high]), require(b, [other_low, other_high])
-    names = _free(a, b.columns, suffix)
+    names = free_names(a, b.columns, suffix)
     keys, other_keys = list(by), list(other_by if other_by is not None else by)
     full_a, full_b = a.filter(column(a, mine[0]) < column(a, mine[1])), b.filter(column(b, theirs[0]) < column(b, theirs[1]))
     one = interval_join(full_a, full_b, mine[0], *theirs, by=keys, interval_by=other_keys, width=width, suffix=suffix)

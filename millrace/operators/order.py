@@ -43,23 +43,23 @@ def numbered(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
 
 
 def ranked(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """``df`` with each record's rank by falling value: equal values, which a partition by range holds together, have the
-    place of their first."""
-    at = sorted_rows(df, [F.col("_value").desc()], _value=value)
-    starts = at.groupBy(PART).agg((F.max(INDEX) + 1).alias("_n")).select(F.col(PART).alias("_p"), F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_start"))
-    firsts = at.groupBy("_value").agg(F.min(PART).alias("_p"), F.min(INDEX).alias("_first")).join(F.broadcast(starts), "_p")
-    firsts = firsts.select(F.col("_value").alias("_v"), (F.col("_start") + F.col("_first") + 1).cast("int").alias(name))
-    return at.join(firsts, F.col("_value").eqNullSafe(F.col("_v"))).drop("_value", "_v", PART, INDEX)
+    """``df`` with each record's rank by falling value. Only values and how often they occur are sorted; a value that most
+    records have is one row of a join, whose other side is split as any skewed key."""
+    marked = df.withColumn("_value", value)
+    counts = marked.groupBy("_value").agg(F.count("*").alias("_n"))
+    placed = running(counts, [F.col("_value").desc()], F.col("_n"), "_so_far", TOTAL)
+    ranks = placed.select(F.col("_value").alias("_v"), (F.col("_so_far") - F.col("_n") + 1).cast("int").alias(name))
+    return marked.join(ranks, F.col("_value").eqNullSafe(F.col("_v"))).drop("_value", "_v")
 
 
 def running(df: DataFrame, keys: Sequence[Column], value: Column, so_far: str, total: str) -> DataFrame:
     """``df`` with the sum of ``value`` up to each record in the order, and that of all."""
-    at = sorted_rows(df, keys, _value=value)
-    sums = at.groupBy(PART).agg(F.sum("_value").alias("_n"))
-    sums = sums.select(PART, F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(total))
-    inside = F.sum("_value").over(Window.partitionBy(PART).orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0))
+    at = sorted_rows(df, keys, _added=value)
+    sums = at.groupBy(PART).agg(F.sum("_added").alias("_sum"))
+    sums = sums.select(PART, F.coalesce(F.sum("_sum").over(_before()), F.lit(0)).alias("_start"), F.sum("_sum").over(Window.partitionBy(F.lit(0))).alias(total))
+    inside = F.sum("_added").over(Window.partitionBy(PART).orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0))
     out = at.withColumn("_inside", inside).join(F.broadcast(sums), PART)
-    return out.withColumn(so_far, F.when(F.col("_inside").isNotNull() | (F.col("_start") != 0), F.col("_start") + F.coalesce("_inside", F.lit(0)))).drop(PART, INDEX, "_value", "_inside", "_start")
+    return out.withColumn(so_far, F.when(F.col("_inside").isNotNull() | (F.col("_start") != 0), F.col("_start") + F.coalesce("_inside", F.lit(0)))).drop(PART, INDEX, "_added", "_inside", "_start")
 
 
 def firsts_marked(df: DataFrame, names: Sequence[Column], keys: Sequence[Column], mark: str) -> DataFrame:
@@ -104,3 +104,30 @@ def carried(df: DataFrame, group: Sequence[Column], keys: Sequence[Column], valu
     joined = at.withColumn("_inside", F.last(kept, ignorenulls=True).over(inside)).join(F.broadcast(ends), F.col(PART) == F.col("_p"))
     found = F.coalesce("_inside", "_end")
     return joined.withColumn(name, F.when(found["of"].eqNullSafe(same), found["is"])).drop(PART, INDEX, "_p", "_end", "_inside", "_value", *held)
+
+
+#: Bins of a histogram of random keys, as bits.
+_BINS = 16
+
+
+def cut_off(df: DataFrame, key: Column, size: int) -> float | None:
+    """The largest of the ``size`` least keys, which are from 0 to 1, by histograms ever finer about the place of the cut, one
+    scan each; None if there are no more keys than that."""
+    low, width, left = 0.0, 1.0, size
+    keyed = df.select(key.alias("k"))
+    while True:
+        step = width / (1 << _BINS)
+        inside = keyed.filter((F.col("k") >= low) & (F.col("k") < low + width))
+        bins = {r.b: r.n for r in inside.groupBy(F.least(F.floor((F.col("k") - low) / step), F.lit((1 << _BINS) - 1)).alias("b")).agg(F.count("*").alias("n")).collect()}
+        if width == 1.0 and sum(bins.values()) <= size:
+            return None
+        for b in sorted(bins):
+            if bins[b] >= left:
+                break
+            left -= bins[b]
+        low, width = low + b * step, step
+        # Few keys are left, or no finer bins: these few are looked at themselves. Bins may differ by rounding at their ends.
+        if bins[b] <= 1 << _BINS or width < 2.0**-48:
+            near = sorted(r.k for r in keyed.filter((F.col("k") >= low - width) & (F.col("k") < low + 2 * width)).collect())
+            before = keyed.filter(F.col("k") < low - width).count()
+            return near[size - before - 1]

@@ -71,8 +71,8 @@ def sample(
 ) -> DataFrame:
     """A sample of records, or with ``discard_sample`` the rest.
 
-    ``first`` takes the first ``size`` in the given order, ``random`` that many at random, ``percent`` each with that
-    chance, ``nth`` (an extension) every ``size``-th. The same seed takes the same records of the same partitions.
+    ``first`` takes the first ``size`` in the given order, ``random`` that many at random (by random keys, whose cut-off is found
+    first where each read of the table is the same, else by sorting), ``percent`` each with that chance, ``nth`` (an extension) every ``size``-th. The same seed takes the same records of the same partitions.
     """
     if method not in SAMPLINGS:
         raise FieldError(f"unknown sampling {method!r}")
@@ -87,12 +87,34 @@ def sample(
     if method == "first" and not order_by and not discard_sample:
         return df.limit(size)
     require_batch(df, f"sampling by {method}")
+    if method == "random" and (size == 0 or _scanned(df)):
+        return _at_random(df, size, discard_sample, seed)
     keys = [F.rand(seed)] if method == "random" else _ordered(df, order_by)
     if method != "nth" and not discard_sample:
         return df.orderBy(*keys).limit(size)
     return _numbered(df, keys, lambda n: n % size == 0 if method == "nth" else n <= size, discard_sample)
 
 
+def _scanned(df: DataFrame) -> bool:
+    """Whether each read of ``df`` has the same records in the same order of the same partitions: no exchange, no Python."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Scan" in plan and not any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas", "InMemoryTableScan", "CollectLimit", "GlobalLimit"))
+
+
+def _at_random(df: DataFrame, size: int, rest: bool, seed: int) -> DataFrame:
+    """So many records at random, or all others, by the cut-off of random keys: no sort and no stored copy, a few scans of one
+    column at most."""
+    if not size:
+        return df if rest else df.limit(0)
+    names = [named(n) for n in df.columns]
+    keyed = df.withColumn("_random", F.rand(seed))
+    cut = order.cut_off(keyed, F.col("_random"), size)
+    if cut is None:
+        return df.limit(0) if rest else df
+    taken = F.col("_random") <= cut
+    return keyed.filter(~taken if rest else taken).select(*names)
+
+
 def _numbered(df: DataFrame, keys: Sequence[Column], taken: Callable[[Column], Column], rest: bool) -> DataFrame:
     """Records whose place in an order is taken, or the others, without bringing all into one task.
 
@@ -248,21 +270,8 @@ def _one_per_key(marked: DataFrame, original: DataFrame, tag: int, key: list[str
 AGGREGATIONS = ("sum", "min", "max", "average")
 
 
-def aggregate(
-    df: DataFrame,
-    keys: Iterable | None = None,
-    measures: Iterable | None = None,
-    default_aggregations: Iterable | None = None,
-    record_count_field: str = "record_count",
-    grouping: str = "group",
-    compat: bool = False,
-) -> DataFrame:
-    """Sum, min, max and average of measures by key, and the number of records; one row without keys, none without records.
-
-    A measure is a name or (name, aggregations). ``grouping`` may be cube or rollup, an extension. ``compat`` starts minima and
-    maxima at 0, floors averages of whole numbers and makes all four aggregations of each measure.
-    """
-    names = require(df, keys or ())
+def measured(df: DataFrame, measures: Iterable | None, default_aggregations: Iterable | None = None, compat: bool = False) -> list[Column]:
+    """The aggregates of measures, each a name or (name, aggregations), as ``aggregate`` names them."""
     out: list[Column] = []
     for measure in measures or ():
         name, chosen = (measure, None) if isinstance(measure, str) or not isinstance(measure, (list, tuple)) else (measure[0], measure[1] if len(measure) > 1 else None)
@@ -280,6 +289,25 @@ def aggregate(
             "average": F.floor(F.sum(c) / F.count("*")) if compat and whole else F.avg(c),
         }
         out += [made[a].alias(f"{name}_{a}") for a in AGGREGATIONS if a in chosen]
+    return out
+
+
+def aggregate(
+    df: DataFrame,
+    keys: Iterable | None = None,
+    measures: Iterable | None = None,
+    default_aggregations: Iterable | None = None,
+    record_count_field: str = "record_count",
+    grouping: str = "group",
+    compat: bool = False,
+) -> DataFrame:
+    """Sum, min, max and average of measures by key, and the number of records; one row without keys, none without records.
+
+    A measure is a name or (name, aggregations). ``grouping`` may be cube or rollup, an extension. ``compat`` starts minima and
+    maxima at 0, floors averages of whole numbers and makes all four aggregations of each measure.
+    """
+    names = require(df, keys or ())
+    out = measured(df, measures, default_aggregations, compat)
     out.append(F.count(F.lit(1)).alias(record_count_field))
     columns = [column(df, n) for n in names]
     if not names:

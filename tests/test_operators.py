@@ -273,3 +273,26 @@ def test_callables_see_bugs_of_their_own(spark):
     df = spark.createDataFrame([(1,)], "i int")
     with pytest.raises(NameError):
         fo.derive(df, lambda i: undefined_name + i, "x", storage_type="integer")  # noqa: F821
+
+
+def test_random_samples_are_exact_and_need_no_sort(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5000).withColumn("v", F.col("id") % 3).repartition(6).write.parquet(path)
+    df = spark.read.parquet(path)
+    for n in (0, 1, 777, 4999, 5000, 9000):
+        one, rest = records.sample(df, n, method="random", seed=2), records.sample(df, n, True, method="random", seed=2)
+        assert one.count() == min(n, 5000) and rest.count() == 5000 - min(n, 5000) and one.intersect(rest).count() == 0
+    plan = records.sample(df, 777, method="random")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    # Reads that may differ from each other are sorted.
+    moved = df.repartition(3, "v")
+    assert records.sample(moved, 100, method="random").count() == 100
+    assert records.sample(df.limit(0), 10, method="random").count() == 0
+
+
+def test_ranks_of_a_value_that_most_records_have(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 2800, 7).when(F.col("id") == 2999, None).otherwise(F.col("id") % 11).cast("int").alias("v"))
+    out = fo.binning(df, "v", "rank", derived_field="place").groupBy("v", "place").count().collect()
+    assert len(out) == 12 and sum(r["count"] for r in out) == 3000
+    values = sorted((r.v for r in df.collect() if r.v is not None), reverse=True)
+    assert {r.v: r.place for r in out} == {None: 3000} | {v: values.index(v) + 1 for v in set(values)}
