@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text as text
-from millrace.llm._work import arrow_schema, aside, bounded_batches, keeps, stored, task, widen
+from millrace.llm._work import arrow_schema, aside, bounded_batches, discard, keeps, stored, task, widen
 
 WINDOW = 13
 #: A document is contaminated if one word in so many is hit.
@@ -123,7 +123,7 @@ def scan(
     spark = documents.sparkSession
     bounded_batches(spark)
     schema = widen(documents.schema, SCANNED)
-    out, again, ahead = documents, False, None
+    out, read, again, ahead = documents, documents, False, None
     blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
     block = next(blocks, [])
     while block is not None:
@@ -131,8 +131,10 @@ def scan(
         sent = spark.sparkContext.broadcast((block, window))
         out = out.mapInArrow(_scanner(sent, text_col, again, removing and ahead is None, schema), schema)
         if ahead is not None:
-            # One block at a time: its hits are written with the documents, then it is let go.
-            out = stored(out, "scanned")
+            # One block at a time: its hits are written with the documents, then it and the table before are let go.
+            last, out = read, stored(out, "scanned")
+            discard(last)
+            read = out
             sent.destroy()
         block, again = ahead, True
     return out

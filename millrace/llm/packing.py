@@ -447,7 +447,9 @@ def _dealt(tokens: DataFrame, corpus: Corpus, shard_tokens: int) -> tuple[DataFr
     extra = heavy.agg(F.sum("pieces")).first()[0] or 0
     placed = led.join(F.broadcast(firsts), "t1").withColumn("part", part).join(heavy, ["t1", "part"], "left")
     piece = F.coalesce(F.pmod(F.xxhash64("number"), F.col("pieces")), F.lit(0))
-    shard = F.shiftleft("place", _PART_BITS) + F.when(piece > 0, F.col("after") + piece - 1).otherwise(F.col("part"))
+    number = F.when(piece > 0, F.col("after") + piece - 1).otherwise(F.col("part"))
+    number = F.when(number >= 1 << _PART_BITS, F.raise_error(F.lit(f"parts of one token have no numbers of {_PART_BITS} bits")).cast("bigint")).otherwise(number)
+    shard = F.shiftleft("place", _PART_BITS) + number
     return placed.select("doc_id", "ids", shard.alias("shard")), int((count[0] or 0) + (count[1] or 0) + extra)
 
 
@@ -483,7 +485,14 @@ def pack(
         data = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
         begin, sizes = offsets.tolist(), np.diff(offsets).tolist()
         sequences = fill(ids, offsets, length, sent.value, terms)
-        flat = [(d, start, take, number, sum(x[2] for x in pieces[:k])) for number, pieces in enumerate(sequences) for k, (d, start, take) in enumerate(pieces)]
+        if len(sequences) >= 1 << _SEQUENCE_BITS:
+            raise OverflowError(f"{len(sequences)} sequences of one shard have no numbers of {_SEQUENCE_BITS} bits")
+        flat = []
+        for number, pieces in enumerate(sequences):
+            at = 0
+            for d, start, take in pieces:
+                flat.append((d, start, take, number, at))
+                at += take
         base = key[0].as_py() << _SEQUENCE_BITS
         columns = list(zip(*flat))
         raw = [data[4 * (begin[d] + start) : 4 * (begin[d] + start + take)] for d, start, take, _, _ in flat]
