@@ -264,7 +264,7 @@ def near_duplicates(
     # A table, so that its size is known before the texts move.
     stored_needed = stored(buckets.select("id").distinct(), "needed")
     some_texts = among(slim, "id", stored_needed).filter("_maybe").drop("_maybe")
-    sets = stored(_signed(some_texts.join(stored_needed, "id", "left_semi"), minima, shingle, table, True).dropDuplicates(["id", "n", "fp1", "fp2"]), "sets")
+    sets = stored(_signed(some_texts.join(stored_needed, "id", "left_semi"), minima, shingle, table, True).dropDuplicates(["id", "n", "hashes"]), "sets")
 
     # Step 1: stars.
     size = sets.groupBy("id").agg(F.min("n").alias("lead_n"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from millrace.llm import chat, decontaminate, licenses, lines, minhash, packing, pages, quality, repair, secrets, sharding, topk, whitening
 
@@ -275,3 +276,57 @@ WITH v AS (
 )
 SELECT vec_id, n, CAST(list_sum(list_transform(x, lambda a, i: (n * a - sums[i]) * (n * a - sums[i]))) AS BIGINT) AS deviation FROM v, s, c
 """
+
+
+_SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _quoting(conversations: DataFrame) -> DataFrame:
+    """Conversations in which every third message begins with a quote of the one before it, in capitals and with wider spaces."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    quote = F.concat(F.lit("> "), F.regexp_replace(F.translate("_before", _SMALL, _LARGE), r"\s+", "  "), F.lit("\n\n"))
+    marked = conversations.withColumn("_before", before)
+    return marked.withColumn("text", F.when((F.col("turn") % 3 == 2) & F.col("_before").isNotNull(), F.concat(quote, "text")).otherwise(F.col("text"))).drop("_before")
+
+
+@query
+def chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7_chat over conversations with quotes: each is linked and taken out."""
+    return chat.link(_quoting(table(spark, sf_dir, "conversations")))
+
+
+ORACLE["chat_quotes"] = (
+    rf"""WITH quoting AS (
+    SELECT conv_id, turn, role, CASE WHEN turn % 3 = 2 AND before IS NOT NULL
+        THEN '> ' || regexp_replace(translate(before, '{_SMALL}', '{_LARGE}'), '\s+', '  ', 'g') || chr(10) || chr(10) || text ELSE text END AS text
+    FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+), """
+    + chat.SQL.lstrip().removeprefix("WITH").replace("FROM conversations", "FROM quoting")
+)
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """Documents of which every tenth has a key put in after its first line: 40 letters and digits made from a hash."""
+    digits = F.base64(F.unhex(F.sha2(F.concat(F.lit("key:"), F.col("doc_id").cast("string")), 256)))
+    key = F.substring(F.translate(digits, "+/=", ""), F.lit(1), F.lit(40))
+    put = F.concat(F.lit("export STORE="), key, F.lit("\n"), F.coalesce("text", F.lit("")))
+    return documents.withColumn("text", F.when(F.col("doc_id") % 10 == 3, put).otherwise(F.col("text")))
+
+
+@query
+def secrets_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_secrets over documents with random keys, of which the tests, being tests, may miss one in twenty: documents, keys, whether
+    most are found, and how many others have a span at the place of keys."""
+    found = secrets.report(_keyed(table(spark, sf_dir, "documents")))
+    keyed, at_key = F.col("doc_id") % 10 == 3, F.exists(F.split("spans", ","), lambda x: x.rlike(r":13:\d+$"))
+    marked = found.select(keyed.alias("keyed"), at_key.alias("at_key"))
+    return marked.agg(
+        F.count("*").alias("n_documents"),
+        F.count_if(F.col("keyed")).alias("n_keys"),
+        (F.count_if(F.col("keyed") & F.col("at_key")) >= 0.95 * F.count_if(F.col("keyed"))).alias("found"),
+        F.count_if(~F.col("keyed") & F.col("at_key")).alias("n_elsewhere"),
+    )
+
+
+ORACLE["secrets_keys"] = """SELECT count(*) AS n_documents, count(*) FILTER (doc_id % 10 = 3) AS n_keys, true AS found,
+    count(*) FILTER (doc_id % 10 <> 3 AND regexp_matches(coalesce(text, ''), '^.{13}AKIA')) AS n_elsewhere FROM documents"""

@@ -1,5 +1,6 @@
 import random
 
+from millrace.llm import _work
 from millrace.llm import decontaminate as d
 from tests.llm.data import clashing, corpus, frame, prose
 
@@ -44,3 +45,12 @@ def test_nothing(spark):
     assert d.report(frame(spark, []), frame(spark, [(1, "a")], "item_id bigint, text string")).count() == 0
     anonymous = d.report(frame(spark, [(1, "a b")]), frame(spark, [(None, "a b")], "item_id bigint, text string")).first()
     assert anonymous.n_hit == 2 and anonymous.n_items == 0 and anonymous.contaminated
+
+
+def test_blocks_leave_one_table(spark, tmp_path, monkeypatch):
+    """However many blocks a benchmark has, the tables of earlier ones are gone."""
+    monkeypatch.setattr(_work, "shared_dir", lambda spark: str(tmp_path))
+    rows, items = made()
+    out = d.report(frame(spark, rows), frame(spark, items, "item_id bigint, text string"), block_bytes=100)
+    assert out.count() == len(rows)
+    assert len([f for f in tmp_path.iterdir() if f.name.startswith("scanned")]) == 1

@@ -79,3 +79,34 @@ def test_components(spark):
     assert got == {x: find(x) for x in touched}
     assert components(frame(spark, [], "a bigint, b bigint")).count() == 0
     assert components(frame(spark, [(None, 1)], "a bigint, b bigint")).agg(F.count("*")).first()[0] == 0
+
+
+def _over_sets_of_ids(rows, n, percent):
+    """Component of each id where an id may have several texts: two ids are linked if any of their sets are."""
+    distinct = sorted({(i, t) for i, t in rows if i is not None})
+    numbered = m.brute_force(list(enumerate(t for _, t in distinct)), n, percent)
+    top = {i: i for i, _ in distinct}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, (i, _) in enumerate(distinct):
+        j = distinct[numbered[a][1]][0]
+        low, high = sorted((find(i), find(j)))
+        top[high] = low
+    return {i: find(i) for i, _ in distinct}
+
+
+def test_texts_of_one_id_are_one_node_in_any_order_of_rows(spark):
+    """Two texts of equal set size under one id: links of both hold."""
+    rng = random.Random(9)
+    a, b = prose(rng, 60), prose(rng, 60, 500)
+    rows = [(1, a), (2, edited(rng, b, 1)), (5, a + " more"), (5, b + " more"), (7, edited(rng, a, 1)), (8, prose(rng, 60, 900))]
+    rows += [(20 + i, edited(rng, rng.choice([a, b]), rng.randrange(3))) for i in range(6)] + [(21, b)]
+    wanted = _over_sets_of_ids(rows, 3, 85)
+    assert wanted[5] == wanted[1] == wanted[2] == 1
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[1])):
+        out = m.near_duplicates(frame(spark, order).coalesce(1), shingle=3, percent=85)
+        assert {r.doc_id: r.component_id for r in out.collect()} == wanted

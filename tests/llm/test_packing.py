@@ -92,3 +92,12 @@ def test_empty(spark):
     assert [(r.length, r.doc_tokens, r.offset) for r in p.pack(frame(spark, [(1, None)])).collect()] == [(1, 1, 0)]
     assert p.powers([(0, 0, 13)]) == [[(0, 0, 8)], [(0, 8, 4)], [(0, 12, 1)]]
     assert len(p.pack(frame(spark, [(1, prose(random.Random(1), 9000))])).collect()) > 5
+
+
+def test_many_empty_texts_take_linear_time(spark):
+    import time
+
+    df = spark.range(60_000).selectExpr("id AS doc_id", "'' AS text")
+    began = time.perf_counter()
+    out = p.pack(df).groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).collect()
+    assert sum(r["sum(length)"] for r in out) == 60_000 and time.perf_counter() - began < 60
