@@ -409,15 +409,46 @@ def _odd(parts: str | tuple[str, ...]) -> int:
 
 
 class _Member:
-    """A line of a group: its characters or words, whether it has an odd number of each of 64 classes of them, and its keys."""
-
-    __slots__ = ("block", "h", "indexed", "keys", "line", "own", "parts", "probe", "sketch")
-
-    def __init__(self, block: int, probe: bool, h: tuple[int, int], line: str, keys: list[int], indexed: list[int], words: bool):
-        self.block, self.probe, self.h, self.line = block, probe, h, line
-        self.keys, self.indexed = frozenset(keys), frozenset(indexed)
-        self.parts: str | tuple[str, ...] = words_of(line) if words else line
-        self.sketch = _odd(self.parts)
+    """A line of a group: its number of characters or words, whether it has an odd number of each of 64 classes of them, and its
+    keys. Words and sets are made when they are first asked for, as most pairs are told apart without."""
+
+    __slots__ = ("_indexed", "_keys", "_own", "_parts", "_sketch", "block", "h", "line", "probe", "size", "words")
+
+    def __init__(self, block: int, probe: bool, h: tuple[int, int], line: str, keys: list[int], indexed: list[int], words: bool, size: int | None = None, sketch: int | None = None):
+        self.block, self.probe, self.h, self.line, self.words = block, probe, h, line, words
+        self._keys, self._indexed, self._parts, self._own = keys, indexed, None, None
+        self._sketch = None if sketch is None else sketch & _MASK
+        self.size = len(self.parts) if size is None else size
+
+    @property
+    def parts(self) -> str | tuple[str, ...]:
+        if self._parts is None:
+            self._parts = words_of(self.line) if self.words else self.line
+        return self._parts
+
+    @property
+    def sketch(self) -> int:
+        if self._sketch is None:
+            self._sketch = _odd(self.parts)
+        return self._sketch
+
+    @property
+    def keys(self) -> frozenset:
+        if not isinstance(self._keys, frozenset):
+            self._keys = frozenset(self._keys)
+        return self._keys
+
+    @property
+    def indexed(self) -> frozenset:
+        if not isinstance(self._indexed, frozenset):
+            self._indexed = frozenset(self._indexed)
+        return self._indexed
+
+    def has_own(self, beside: Threshold) -> bool:
+        """Whether the line has keys of characters."""
+        if self._own is None:
+            self._own = not beside.by_words(self.line)
+        return self._own
 
 
 class _Groups:
@@ -443,9 +474,10 @@ class _Groups:
     def _beside(self, x: _Member, y: _Member) -> bool:
         if self.beside is None:
             return False
-        if max(len(x.line), len(y.line)) - min(len(x.line), len(y.line)) > (most := self.beside.of(max(len(x.line), len(y.line)))):
+        most = self.beside.of(max(len(x.line), len(y.line)))
+        if abs(len(x.line) - len(y.line)) > most or not (x.has_own(self.beside) and y.has_own(self.beside)):
             return False
-        return distance_within(x.line, y.line, most) and not self.beside.by_words(x.line) and not self.beside.by_words(y.line)
+        return distance_within(x.line, y.line, most)
 
     def add(self, key: int, apart: bool, group: list[_Member]) -> None:
         """Compare a group's lines; ``apart``: only those of its two blocks with each other."""
@@ -460,11 +492,15 @@ class _Groups:
         for i, x in enumerate(group):
             for j in range(i + 1, len(group)):
                 y = group[j]
-                most = self.threshold.of(max(len(x.parts), len(y.parts)))
-                # An edit changes two bits at most.
-                if (x.probe and y.probe) or (apart and x.block == y.block) or abs(len(x.parts) - len(y.parts)) > most or (x.sketch ^ y.sketch).bit_count() > 2 * most:
+                most = self.threshold.of(max(x.size, y.size))
+                if (x.probe and y.probe) or (apart and x.block == y.block) or abs(x.size - y.size) > most:
+                    continue
+                if min((x.indexed & y.keys) | (x.keys & y.indexed)) != key:
+                    continue
+                # An edit changes two bits at most; a sketch of words is there, one of characters is no cheaper than the comparison.
+                if self.words and (x.sketch ^ y.sketch).bit_count() > 2 * most:
                     continue
-                if min((x.indexed & y.keys) | (x.keys & y.indexed)) == key and self._near(x, y, most):
+                if self._near(x, y, most):
                     counts[i] += 1
                     counts[j] += 1
                     if top[i] != top[j]:
@@ -473,11 +509,11 @@ class _Groups:
                         top = [new if t == old else t for t in top]
         return counts, edges
 
-    def _arrays(self, key: int, apart: bool, group: list[_Member]) -> tuple[list[int], list[tuple[int, int]]]:
+    def _candidates(self, key: int, apart: bool, group: list[_Member]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(a line, later ones that may be near, the edits allowed) by lengths, sketches and keys."""
         size = len(group)
-        lengths = np.array([len(m.parts) for m in group])
+        lengths, sketch = np.array([m.size for m in group]), np.array([m.sketch for m in group], np.uint64)
         most = np.array([self.threshold.of(n) for n in range(int(lengths.max()) + 1)])
-        sketch = np.array([m.sketch for m in group], np.uint64)
         probe, block = np.array([m.probe for m in group]), np.array([m.block for m in group])
         # Of each key that comes before this one: the lines that have it, and those in whose index it is.
         having: dict[int, list[int]] = {}
@@ -486,12 +522,7 @@ class _Groups:
                 if k < key:
                     having.setdefault(k, []).append(i)
         shared = {k: (np.array(v), np.array([i for i in v if k in group[i].indexed], np.int64)) for k, v in having.items() if len(v) > 1}
-        codes, where = self._codes(group, lengths) if self.words else ({}, None)
-        if self.beside is not None:
-            chars, letters = np.array([len(m.line) for m in group]), np.array([_odd(m.line) for m in group], np.uint64)
-            near = np.array([self.beside.of(n) for n in range(int(chars.max()) + 1)])
-            own_keys = np.array([not self.beside.by_words(m.line) for m in group])
-        counts, edges, top = np.zeros(size, np.int64), [], np.arange(size)
+        out = []
         for i in range(size - 1):
             x, rest = group[i], slice(i + 1, size)
             bound = most[np.maximum(lengths[rest], lengths[i])]
@@ -507,18 +538,39 @@ class _Groups:
                     found = shared[k][0] if k in x.indexed else shared[k][1]
                     may[found[np.searchsorted(found, i, side="right") :] - (i + 1)] = False
             at = np.flatnonzero(may)
-            bound, at = bound[at], at + i + 1
+            if len(at):
+                out.append((i, at + i + 1, bound[at]))
+        return out
+
+    def _arrays(self, key: int, apart: bool, group: list[_Member]) -> tuple[list[int], list[tuple[int, int]]]:
+        size = len(group)
+        counts, edges, top = np.zeros(size, np.int64), [], np.arange(size)
+        candidates = self._candidates(key, apart, group)
+        if not candidates:
+            return counts.tolist(), edges
+        used = np.unique(np.concatenate([np.array([i for i, _, _ in candidates]), *(at for _, at, _ in candidates)])).tolist()
+        if self.words:
+            codes, where = self._codes(group, used)
+            lengths = np.array([m.size for m in group])
+        if self.beside is not None:
+            chars, letters, own = np.array([len(m.line) for m in group]), np.zeros(size, np.uint64), np.zeros(size, bool)
+            near = np.array([self.beside.of(n) for n in range(int(chars.max()) + 1)])
+            for i in used:
+                own[i] = group[i].has_own(self.beside)
+                letters[i] = _odd(group[i].line) if own[i] else 0
+        for i, at, bound in candidates:
+            x = group[i]
             if self.words:
                 same = lengths[at] == lengths[i]
                 sure = np.zeros(len(at), bool)
-                own = codes[int(lengths[i])]
-                sure[same] = (own[where[at[same]]] != own[where[i]]).sum(axis=1) <= bound[same]
+                table = codes[int(lengths[i])]
+                sure[same] = (table[where[at[same]]] != table[where[i]]).sum(axis=1) <= bound[same]
                 for place in np.flatnonzero(~sure).tolist():
                     sure[place] = distance_within(x.parts, group[at[place]].parts, int(bound[place]))
                 at = at[sure]
-                if self.beside is not None and own_keys[i]:
+                if self.beside is not None and own[i]:
                     most_of = near[np.maximum(chars[at], chars[i])]
-                    close = own_keys[at] & (np.abs(chars[at] - chars[i]) <= most_of) & (np.bitwise_count(letters[at] ^ letters[i]) <= 2 * most_of)
+                    close = own[at] & (np.abs(chars[at] - chars[i]) <= most_of) & (np.bitwise_count(letters[at] ^ letters[i]) <= 2 * most_of)
                     for place in np.flatnonzero(close).tolist():
                         close[place] = distance_within(x.line, group[at[place]].line, int(most_of[place]))
                     at = at[~close]
@@ -537,15 +589,15 @@ class _Groups:
         return counts.tolist(), edges
 
     @staticmethod
-    def _codes(group: list[_Member], lengths: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
-        """Words as numbers, a table for each length, and each line's row there."""
+    def _codes(group: list[_Member], used: list[int]) -> tuple[dict[int, np.ndarray], np.ndarray]:
+        """Words as numbers, a table for each length, and the row there of each line that is used."""
         known: dict[str, int] = {}
         tables: dict[int, list] = {}
         where = np.zeros(len(group), np.int64)
-        for i, m in enumerate(group):
-            own = tables.setdefault(int(lengths[i]), [])
+        for i in used:
+            own = tables.setdefault(group[i].size, [])
             where[i] = len(own)
-            own.append([known.setdefault(w, len(known)) for w in m.parts])
+            own.append([known.setdefault(w, len(known)) for w in group[i].parts])
         return {n: np.array(rows, np.int32).reshape(len(rows), n) for n, rows in tables.items()}, where
 
 
@@ -554,19 +606,28 @@ _FOUND = "a1 bigint, a2 bigint, n bigint, b1 bigint, b2 bigint"
 
 def _verified(members: DataFrame, threshold: Threshold, words: bool = False, beside: Threshold | None = None) -> DataFrame:
     """What is found inside of groups of (key, p, q), whose members have all ``keys`` of their line and those that are ``indexed``:
-    (a1, a2, n, null, null) a line with the number of its links, (a1, a2, 0, b1, b2) an edge between classes."""
+    (a1, a2, n, null, null) a line with the number of its links, (a1, a2, 0, b1, b2) an edge between classes. For words members
+    have their number ``n`` and ``sketch`` as well."""
+
+    def lists(column: pa.Array) -> Iterator[list[int]]:
+        values, at = column.flatten().to_numpy().tolist(), 0
+        for size in column.value_lengths().to_numpy().tolist():
+            yield values[at : at + size]
+            at += size
 
     def run(batches):
         found = _Groups(threshold, words, beside)
         group: list[_Member] = []
         at = None
         for batch in batches:
-            for key, p, q, block, probe, h1, h2, line, keys, indexed in zip(*(column.to_pylist() for column in batch.columns)):
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            more = [batch.column(i).to_numpy().tolist() for i in (10, 11)] if words else [(None,) * batch.num_rows] * 2
+            for key, p, q, block, probe, h1, h2, line, keys, indexed, size, sketch in zip(*columns, lists(batch.column(8)), lists(batch.column(9)), *more):
                 if at != (key, p, q):
                     if group:
                         found.add(at[0], at[1] != at[2], group)
                     at, group = (key, p, q), []
-                group.append(_Member(block, probe, (h1, h2), line, keys, indexed, words))
+                group.append(_Member(block, probe, (h1, h2), line, keys, indexed, words, size, sketch))
             yield _found_batch(found)
         if group:
             found.add(at[0], at[1] != at[2], group)
@@ -574,7 +635,7 @@ def _verified(members: DataFrame, threshold: Threshold, words: bool = False, bes
 
     # Groups are together and in order in a partition; one has two blocks at most.
     sorted_ = members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return sorted_.select("key", "p", "q", "block", "probe", "h1", "h2", "line", "keys", "indexed").mapInArrow(task("lines", run), _FOUND)
+    return sorted_.select("key", "p", "q", "block", "probe", "h1", "h2", "line", "keys", "indexed", *(["n", "sketch"] if words else [])).mapInArrow(task("lines", run), _FOUND)
 
 
 def _found_batch(found: _Groups) -> pa.RecordBatch:
@@ -768,7 +829,7 @@ def _possible(members: DataFrame, threshold: Threshold) -> DataFrame:
             hit = (np.bitwise_count(bits[x] ^ bits[y]) <= 2 * most) & (np.abs(n[x] - n[y]) <= most) & ~(probe[x] & probe[y]) & ((p[x] == q[x]) | (block[x] != block[y]))
             near[x[hit]] = near[y[hit]] = True
             step += 1
-        return rows.select(names).filter(pa.array(near)).combine_chunks()
+        return rows.filter(pa.array(near)).combine_chunks()
 
     def run(batches):
         rest = None
@@ -787,7 +848,7 @@ def _possible(members: DataFrame, threshold: Threshold) -> DataFrame:
             yield from kept(rest.combine_chunks()).to_batches()
 
     sorted_ = members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return sorted_.select(*names, "n", "sketch").mapInArrow(task("lines", run), f"key bigint, p int, q int, block int, probe boolean, {_TWO}")
+    return sorted_.select(*names, "n", "sketch").mapInArrow(task("lines", run), f"key bigint, p int, q int, block int, probe boolean, {_TWO}, {_SKETCH}")
 
 
 def _word_links(documents: DataFrame, firsts: DataFrame, threshold: Threshold, beside: Threshold) -> DataFrame:

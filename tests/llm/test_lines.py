@@ -249,7 +249,7 @@ def test_arrays_and_plain_loops_agree(apart):
             keys = [5, *rng.sample(range(9), 3)]
             group.append(m._Member(rng.randrange(2), rng.random() < 0.3, (i, 0), " ".join(base), keys, [k for k in keys if rng.random() < 0.7 or k == 5], words))
         for member in group:
-            member.indexed = member.indexed - {5} if member.probe else member.indexed | {5}
+            member._indexed = member.indexed - {5} if member.probe else member.indexed | {5}
         groups = m._Groups(threshold, words, beside)
         plain, arrays = groups._plain(5, apart, group), groups._arrays(5, apart, group)
         assert plain[0] == arrays[0] and sum(plain[0]) > 0
@@ -277,3 +277,12 @@ def test_rows_of_a_large_class_are_not_its_pairs(spark):
 
 def _by_characters(m, places, firsts):
     return m._links(places, firsts, m.Threshold(words=10), 512).agg({"n": "sum"}).first()[0] or 0
+
+
+def test_sketches_of_either_sign():
+    """Sketches come as signed numbers; links don't hang on the sign."""
+    threshold = m.Threshold(edits=0, percent=50 - 1, exact_below=1)
+    a = m._Member(0, False, (1, 0), "a b c d", [5], [5], True, 4, -(1 << 63))
+    b = m._Member(0, False, (2, 0), "a b c e", [5], [5], True, 4, 0)
+    assert m._Groups(threshold, True, None)._plain(5, False, [a, b])[0] == [1, 1]
+    assert m._Groups(threshold, True, None)._arrays(5, False, [a, b])[0] == [1, 1]
