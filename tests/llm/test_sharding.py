@@ -66,3 +66,33 @@ def test_report_places_by_the_stored_map_and_edits_it(spark, tmp_path):
         assert all(kept[r.vslot] == r.shard for r in out)
     first = {r.vslot: r.shard for r in s.read_map(spark, path, 1).collect()}
     assert sum(first[v] != kept[v] for v in first) < len(first) / 2
+
+
+def _plain_assignment(sizes, shards):
+    """Slots by falling bytes (the smaller number first among equals), each to the lightest shard so far, the first of several."""
+    load, out = [0] * shards, {}
+    for slot, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        out[slot] = load.index(min(load))
+        load[out[slot]] += size
+    return out
+
+
+def test_the_assignment_equals_a_plain_one(spark):
+    rows = [(i, t) for i, t in corpus(3, 400)] + [(10_000 + i, "same") for i in range(50)]
+    out = s.report(clashing(frame(spark, rows)), 7, 64).collect()
+    sizes = {}
+    for r in out:
+        sizes[r.vslot] = sizes.get(r.vslot, 0) + r.size
+    wanted = _plain_assignment(sizes, 7)
+    assert {r.vslot: r.shard for r in out} == wanted and set(wanted.values()) == set(range(7))
+    # Places: slots of a shard by number, and in a slot by id, checksum and size.
+    places = {}
+    for r in sorted(out, key=lambda r: (r.shard, r.vslot, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size)):
+        place = places[r.shard] = places.get(r.shard, -1) + 1
+        assert r.slot == place
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "x" * 3_000_000), (2, "y"), (3, "é" * 1_000_000), (4, None)]
+    out = {r.doc_id: (r.size, r.text_crc32, r.shard) for r in s.report(frame(spark, rows), 3, 16).collect()}
+    assert {i: v[:2] for i, v in out.items()} == {i: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows}
