@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import os
-import shutil
 from string import Template
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators import order
 from millrace.schema import FieldList, collapse_record, expand_record
 from millrace.session import ship_package
 from millrace.sources.base import Source, Target, needs_fields
@@ -58,23 +59,54 @@ def _cast(c, kind: T.DataType):
     return F.btrim(c, F.lit('"')).try_cast(kind)
 
 
+def _folder(path: str):
+    """The file system of a path or URI, and the path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 class YamlDirectoryTarget(Target):
-    """A file per record, written by the driver one by one; names are a template over the record and ``__index``."""
+    """A file per record, written by the tasks to a folder that all of them share; names are a template over the record and
+    ``__index``, the number in the order of reading. A task that runs again writes the same files."""
 
     def __init__(self, path: str, filename_template: str = "record_${__index}.yml", expand: bool = False, filename_start_index: int = 0, truncate: bool = False):
         self.path, self.template, self.expand, self.start, self.truncate = path, filename_template, expand, filename_start_index, truncate
 
     def write(self, df: DataFrame) -> None:
-        import yaml
+        from pyarrow import fs
 
-        if os.path.exists(self.path) and not os.path.isdir(self.path):
+        files, root = _folder(self.path)
+        kind = files.get_file_info(root).type
+        if kind == fs.FileType.File:
             raise OSError(f"{self.path} is not a directory")
-        if self.truncate and os.path.isdir(self.path):
-            shutil.rmtree(self.path)
-        os.makedirs(self.path, exist_ok=True)
+        if self.truncate and kind == fs.FileType.Directory:
+            files.delete_dir_contents(root)
+        files.create_dir(root, recursive=True)
+        ship_package(df.sparkSession)
         names = FieldList.of_schema(df.schema).names()
-        for index, row in enumerate(df.toLocalIterator(), self.start):
-            record = dict(zip(names, row))
-            name = Template(self.template).substitute(record | {"__index": index})
-            with open(os.path.join(self.path, name), "w", encoding="utf-8") as out:
-                yaml.safe_dump(expand_record(record) if self.expand else record, out, allow_unicode=True, sort_keys=False)
+        path, template, nested, start, width = self.path, self.template, self.expand, self.start, len(names)
+        placed = df.toDF(*(f"c{i}" for i in range(width)))
+        numbered = order.numbered(placed, [F.monotonically_increasing_id()]) if "__index" in template else placed.withColumn(order.PLACE, F.lit(0).cast("bigint"))
+
+        def run(batches):
+            import pyarrow as pa
+            import yaml
+
+            out, folder = _folder(path)
+            for batch in batches:
+                columns = [[_plain(v) for v in c.to_pylist()] for c in batch.columns]
+                for *row, place in zip(*columns):
+                    record = dict(zip(names, row))
+                    name = Template(template).substitute(record | {"__index": start + place - 1})
+                    text = yaml.safe_dump(expand_record(record) if nested else record, allow_unicode=True, sort_keys=False)
+                    with out.open_output_stream(f"{folder}/{name}") as file:
+                        file.write(text.encode("utf-8"))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+        numbered.select(*(f"c{i}" for i in range(width)), order.PLACE).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
+def _plain(value):
+    """A time without its zone, as the session shows it."""
+    return value.replace(tzinfo=None) if isinstance(value, datetime.datetime) else value
