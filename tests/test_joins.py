@@ -1,7 +1,9 @@
 """Frames over one order, as-of and interval joins and table functions against plain loops, hot keys, nulls and ties among them."""
 
+import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +151,18 @@ def test_table_functions(spark):
         expand.table_function(df, lambda s: [(1, 2)], ["s"], ["n"]).collect()
 
 
+def test_table_functions_send_no_batch_a_record(spark):
+    """Arrow table functions make a batch for each record; values that Spark would take for null are errors."""
+    one = spark.range(1)
+    assert "ArrowEvalPythonUDTF" not in expand.table_function(one, lambda i: [i], ["id"], ["n"])._jdf.queryExecution().toString()
+    kinds = [("b", "boolean"), ("d", "date"), ("a", "array"), ("i", "integer")]
+    values = (np.True_, datetime.date(2020, 1, 2), ["x", "y"], np.int64(7))
+    assert rows(expand.table_function(one, lambda i: [values], ["id"], kinds)) == [(0, True, datetime.date(2020, 1, 2), ["x", "y"], 7)]
+    for kind, value in (("boolean", 1), ("array", "ab")):
+        with pytest.raises(Exception, match=f"for a field of type {kind}"):
+            expand.table_function(one, lambda i: [(value,)], ["id"], [("o", kind)]).collect()  # noqa: B023
+
+
 def test_generators_run_in_tasks(spark):
     out = GeneratorSource(lambda a, b, step: ((i, str(i)) for i in range(a, b, step)), ["i", "s"], partitions=[(0, 4), (10, 11), (5, 5)], step=2).read(spark)
     assert rows(out) == [(0, "0"), (10, "10"), (2, "2")] and out.dtypes == [("i", "bigint"), ("s", "string")]
