@@ -286,3 +286,53 @@ def test_sketches_of_either_sign():
     b = m._Member(0, False, (2, 0), "a b c e", [5], [5], True, 4, 0)
     assert m._Groups(threshold, True, None)._plain(5, False, [a, b])[0] == [1, 1]
     assert m._Groups(threshold, True, None)._arrays(5, False, [a, b])[0] == [1, 1]
+
+
+def _near_copies(rng, n):
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.choice([9, 10, 14, 25, 40]))] for _ in range(n)]
+    return [(i, "\n".join(reworded(rng, " ".join(rng.choice(base)), rng.randrange(4)) for _ in range(6))) for i in range(n)]
+
+
+def test_lines_that_meet_often_are_compared_in_one_group(spark):
+    """Two lines that have most of their keys in common are rows of one group, not of each key."""
+    rng = random.Random(2)
+    lines = [" ".join(f"{rng.randrange(10**6):x}" for _ in range(60)) for _ in range(50)]
+    documents = frame(spark, [*enumerate(lines), *((100 + i, f"first {line}") for i, line in enumerate(lines))])
+    threshold = m.Threshold(words=10)
+    met = m._met(m._packed_rows(documents, threshold.of_words(), threshold, 2, [], 3), threshold.of_words())
+    assert met.select("key", "h1", "h2").distinct().count() == met.select("h1", "h2").distinct().count() == 100
+
+
+@pytest.mark.parametrize("block, most", [(2, 30), (5, 200), (m.BLOCK, 1)])
+def test_small_and_large_groups_find_the_same(spark, block, most):
+    """Large groups, and buckets that are too full to be held, lose no link and count none twice."""
+    rows = _near_copies(random.Random(block), 60)
+    documents, threshold = frame(spark, rows), m.Threshold(words=10)
+    firsts = m._each_line(documents).groupBy("h1", "h2").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc_id").join(m._each_line(documents), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2"])
+    packed = m._packed_rows(documents, threshold.of_words(), threshold, 2, [], 2)
+    met = m.stored(m._met(packed, threshold.of_words(), block, most), "met")
+    assert (m._LARGE in {r.kind for r in met.collect()}) == (block < m.BLOCK)
+    counts = {}
+    for links in (m._links(documents, firsts, threshold, 512, met), m._word_links(documents, firsts, threshold.of_words(), threshold, met)):
+        for r in links.filter("n > 0").collect():
+            counts[r.a1, r.a2] = counts.get((r.a1, r.a2), 0) + r.n
+    expected = m.brute_force(rows, threshold)
+    by_place = {(i, n): m.identity(line) for i, value in rows for n, line in m._lines(value)}
+    assert counts == {by_place[place]: n for place, (*_, n) in expected.items() if n} and len(counts) > 50
+
+
+def test_packed_keys_are_those_of_rows(spark):
+    documents, threshold = frame(spark, _near_copies(random.Random(1), 30) + [(99, None), (98, " \n")]), m.Threshold(words=10)
+    grams, characters = set(), set()
+    for r in m._packed_rows(documents, threshold.of_words(), threshold, 2, [], 5).collect():
+        (grams if r.bucket >= 0 else characters).update((x["key"].item(), x["h1"].item(), x["h2"].item(), x["probe"].item()) for x in m.np.frombuffer(r.records, m._RECORD))
+    assert characters == {(r.key, r.h1, r.h2, r.probe) for r in m._key_rows(documents, threshold).collect()} and characters
+    assert grams == {(r.key, r.h1, r.h2, r.probe) for r in m._gram_rows(documents, threshold.of_words(), 2, []).collect()}
+
+
+def test_classes_where_halves_of_hashes_clash(spark, monkeypatch):
+    """Names of nodes by half a hash and by whole ones give the same classes."""
+    rows = _near_copies(random.Random(4), 20)
+    whole = found(m.near_lines(frame(spark, rows), threshold=m.Threshold(words=10)))
+    monkeypatch.setattr(m.F, "count_distinct", lambda c: m.F.lit(-1))
+    assert found(m.near_lines(frame(spark, rows), threshold=m.Threshold(words=10))) == whole == m.brute_force(rows, m.Threshold(words=10))
