@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import _work
@@ -336,3 +336,58 @@ def test_classes_where_halves_of_hashes_clash(spark, monkeypatch):
     whole = found(m.near_lines(frame(spark, rows), threshold=m.Threshold(words=10)))
     monkeypatch.setattr(m.F, "count_distinct", lambda c: m.F.lit(-1))
     assert found(m.near_lines(frame(spark, rows), threshold=m.Threshold(words=10))) == whole == m.brute_force(rows, m.Threshold(words=10))
+
+
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), max_size=14), st.integers(0, 9)), min_size=1, max_size=20), st.sampled_from([1, 60, 1 << 20]))
+@settings(deadline=None)
+def test_distances_of_many_pairs_at_once(pairs, cells):
+    """Pairs of any lengths and thresholds, in chunks or one by one, agree with the textbook table."""
+    pairs = [(s, t, max(k, abs(len(s) - len(t)))) for s, t, k in pairs]
+    lines = [" ".join(x) for s, t, _ in pairs for x in (s, t)]
+    a, most = m.np.arange(0, 2 * len(pairs), 2), m.np.array([k for *_, k in pairs])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(m, "CELLS", cells)
+        found = m.words_within(*m.coded(m.pa.array(lines)), a, a + 1, most)
+    assert found.tolist() == [m.distance(s, t) <= k for s, t, k in pairs]
+
+
+def test_numbers_of_words():
+    words, begin = m.coded(m.pa.chunked_array([["a\tb  a\x0b\u00a0", "", "b\u2003a é"], ["é \x00 b"]]))
+    assert begin.tolist() == [0, 4, 4, 6, 9]
+    a, b, c = words[0], words[1], words[5]
+    assert words[2] == a and words[8] == b and words[6] == c and len(set(words.tolist())) == 6
+
+
+@pytest.mark.parametrize("pairs", [1, 1 << 15])
+def test_groups_of_words_are_compared_by_arrays(monkeypatch, pairs):
+    """Several groups, of two blocks or one, give what each gives by plain loops; no pair of words is compared by itself."""
+    rng = random.Random(8)
+    threshold, beside = m.Threshold(edits=0, percent=20, exact_below=1), m.Threshold(edits=1, words=20)
+    rows, expected, classes = [], {}, {}
+    places = m._Groups(threshold, True, beside)
+    for key, q in ((4, 0), (5, 1), (6, 0), (7, 0)):
+        group = []
+        for i in range(60 if key < 7 else 1):
+            base = [rng.choice("abcdefgh") * 3 for _ in range(rng.choice([6, 7, 11, 21]))] if i % 3 == 0 else list(group[-1].line.split(" "))
+            at = rng.randrange(len(base))
+            base[at : at + rng.randrange(2)] = [rng.choice(["x", "yy", "abc"])]
+            probe = rng.random() < 0.3
+            keys = sorted({key, *rng.sample(range(9), 3)})
+            indexed = [k for k in keys if k != key and rng.random() < 0.7] + [key] * (not probe)
+            group.append(m._Member(rng.randrange(2) if q else 0, probe, (key, i), " ".join(base), keys, indexed, True))
+            x = group[-1]
+            sketch = x.sketch - (1 << 64) if x.sketch >> 63 else x.sketch
+            rows.append((key, 0, q, x.block, probe, key, i, x.line, keys, indexed, x.size, sketch))
+        counts, edges = places._plain(key, q > 0, group)
+        expected |= {(key, i): n for i, n in enumerate(counts) if n}
+        classes[key] = _classes(edges, len(group))
+    integers, lists = m.pa.int64(), m.pa.list_(m.pa.int64())
+    kinds = [integers, m.pa.int32(), m.pa.int32(), m.pa.int32(), m.pa.bool_(), integers, integers, m.pa.string(), lists, lists, m.pa.int32(), integers]
+    members = m.pa.Table.from_arrays([m.pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f"c{i}" for i in range(12)])
+    monkeypatch.setattr(m, "PAIRS", pairs)
+    monkeypatch.setattr(m, "distance_within", lambda s, t, k, whole=m.distance_within: isinstance(s, str) and whole(s, t, k))
+    made = m._Compared(threshold, beside).rows(members).to_pylist()
+    assert {(r["a1"], r["a2"]): r["n"] for r in made if r["n"]} == expected and len(expected) > 60
+    for key, of in classes.items():
+        edges = [(r["a2"], r["b2"]) for r in made if r["a1"] == key and r["b1"] is not None]
+        assert _classes(edges, 60 if key < 7 else 1) == of
